@@ -14,5 +14,27 @@ def op1_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", *quality.OUT, "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_risk_controlled_rules,)}
+def op4_viterbi_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import viterbi
+
+    return viterbi.count_pieces(table(spark, sf_dir, "documents"), viterbi.read_pieces(public_tokenizers.path("piece_bpe_32k.model")))
+
+
+def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import bpe
+
+    return bpe.digests(table(spark, sf_dir, "documents"), bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)
+
+
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import secret_scan
+
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_risk_controlled_rules, op4_viterbi_counts, op6_bpe_round_trip, op7_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
