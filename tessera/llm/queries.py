@@ -22,6 +22,12 @@ def op4_viterbi_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return viterbi.count_pieces(table(spark, sf_dir, "documents"), viterbi.read_pieces(public_tokenizers.path("piece_bpe_32k.model")))
 
 
+def op5_conv_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -36,5 +42,35 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_risk_controlled_rules, op4_viterbi_counts, op6_bpe_round_trip, op7_secret_scan)}
+def op8_grouped_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import jaccard
+
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_variable_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import packing
+
+    return packing.best_fit(table(spark, sf_dir, "documents"))
+
+
+def op10_stable_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import neighbours
+
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_risk_controlled_rules,
+        op4_viterbi_counts,
+        op5_conv_toxicity,
+        op6_bpe_round_trip,
+        op7_secret_scan,
+        op8_grouped_prefix_join,
+        op9_variable_bins,
+        op10_stable_projections,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}
