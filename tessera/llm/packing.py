@@ -18,7 +18,7 @@ from bisect import bisect_left, insort
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import stored, words
 
 CAPACITIES = (512, 1024, 2048, 4096)
 COST_LENGTH = 4096.0
@@ -56,8 +56,6 @@ def pack(sizes: list[int], capacities: tuple[int, ...] = CAPACITIES) -> tuple[li
 
 def best_fit(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, per_shard: int = PER_SHARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per piece: its bin, the bin's capacity and the piece's place in it. A token is a word here."""
-    from .common import stored
-
     sizes = tuple(sorted(set(capacities)))
     top = sizes[-1]
     counted = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.size(words(F.col(text_col))).alias("n")).filter(F.when(F.col("n") > 0, True).otherwise(False))

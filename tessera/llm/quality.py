@@ -22,7 +22,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, words
+from .common import SPACES, stored, words
 
 MIN_WORDS, MAX_REPEATED = 50, 50
 POS_BITS = 20
@@ -124,7 +124,7 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 
 
 def cutoffs(feats: DataFrame, labels: DataFrame, false_rejection: float = 0.02, delta: float = 0.05, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
-    """One row per stratum: _stratum and _c_<rule>, the strictest proven cutoff of each rule or null.
+    """feats: stored features, as a filter on computed ones would be pushed below and compute them anew. One row per stratum: _stratum and _c_<rule>, the strictest proven cutoff of each rule or null.
 
     At most len(STRATA) + 1 rows, whatever the input. Before grouping, the labelled rows shrink to counts per stratum, rule
     and ladder step.
@@ -155,8 +155,6 @@ def judge(feats: DataFrame, cuts: DataFrame) -> DataFrame:
 
 def assess(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
     """doc_id, the base counts, base_failed, kept, failed_rules for every row of docs; see the module's text."""
-    from .common import stored
-
     feats = stored(features(docs), "quality")
     return judge(feats, cutoffs(feats, labels, **params)).select(F.col("_id").alias("doc_id"), *OUT, "kept", "failed_rules")
 
@@ -164,6 +162,6 @@ def assess(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
     """The rows of docs that are kept, with their own columns. Texts are never shuffled; features are computed twice instead."""
     columns = tuple(docs.columns)
-    cuts = cutoffs(features(docs), labels, **params)
+    cuts = cutoffs(stored(features(docs), "quality"), labels, **params)
     judged = judge(features(docs, keep=columns), cuts)
     return judged.filter(F.when(F.col("kept"), True).otherwise(False)).select("_row.*")
