@@ -14,6 +14,18 @@ def op1_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", *quality.OUT, "kept")
 
 
+def op2_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op3_link_graph_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import url_graph
+
+    return url_graph.judge(table(spark, sf_dir, "pages"))
+
+
 def op4_viterbi_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -64,6 +76,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_risk_controlled_rules,
+        op2_warc_transactions,
+        op3_link_graph_filter,
         op4_viterbi_counts,
         op5_conv_toxicity,
         op6_bpe_round_trip,
