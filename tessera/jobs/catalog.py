@@ -1,10 +1,6 @@
 """Every registered query of the library's own operators and the SQL that states it."""
 
-from __future__ import annotations
+from tessera.jobs import context, telemetry  # noqa: F401  (importing registers)
+from tessera.jobs.registry import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
