@@ -44,7 +44,7 @@ def write_predictions(rows: DataFrame, path: str) -> None:
 
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
     """(record, fs, n_samples, leads): WFDB headers; gain is the text before "(", baseline the number in it or 0."""
-    x = spark.read.option("wholetext", True).option("pathGlobFilter", "*.hea").text(path)
+    x = spark.read.option("pathGlobFilter", "*.hea").text(path, wholetext=True)
     rows = F.filter(F.split("value", r"\r?\n"), lambda s: (F.length(C.strip(s)) > 0) & ~s.startswith("#"))
     first = F.split(C.strip(F.get(rows, 0)), r"\s+")
     n = F.get(first, 1).cast("int")
