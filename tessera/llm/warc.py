@@ -22,7 +22,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from .common import fresh_path, stored
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 END = "\r\n\r\n"
@@ -165,7 +165,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     path = fresh_path(spark, "warc")
     write_archives(pages, path)
-    c = assemble(read_archives(spark, path, payloads=False))
+    c = assemble(stored(read_archives(spark, path, payloads=False), "records"))  # the joins read the records several times
     page = F.col("metadata.fields")["pageId"].try_cast("long")
     rows = c.select(page.alias("page_id"), F.coalesce("response.payload_bytes", F.col("metadata.fields")["payloadBytes"].try_cast("long")).alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.type").alias("record_type"), F.col("response.refers_to").alias("_refers"), "record_id")
     targets = rows.filter("record_type = 'response'").groupBy(F.col("record_id").alias("_refers")).agg(F.max("page_id").alias("refers_to"))
