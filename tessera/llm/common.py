@@ -50,3 +50,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, key: str, name: str, buckets: int) -> DataFrame:
+    """The rows written once, in the shared folder, as a table bucketed by key: joins on it move the other side only.
+
+    The last shuffle of df must be by key alone; it is made with one partition per bucket, so each task writes one file.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    own = {"spark.sql.shuffle.partitions": str(buckets), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    usual = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        df.write.bucketBy(buckets, key).option("path", path).saveAsTable(table)
+    finally:
+        for k, v in usual.items():
+            spark.conf.set(k, v)
+    return spark.table(table)
