@@ -2,11 +2,13 @@
 
 Spans are (kind, start, end) in code points, end exclusive. Three kinds come from patterns (fixed values below). The fourth,
 markov, takes runs of 16 or more identifier characters whose mean log-likelihood ratio per character pair, random string
-against ordinary identifier, exceeds 0 and lies over three times as far above the ordinary identifiers' median as their 95th
-percentile does (so a few secrets among the unlabelled runs don't hide others). Both models are first-order chains
-over the same alphabet, which fall back to single characters' shares (add-one smoothing) where pairs are rare. Labelled samples come from the corpus: values found by the patterns, over all
-documents, are random strings; runs of 8 or more characters outside of them, in at most ``sample_docs`` documents (those
-of smallest hash), are ordinary identifiers. A markov span that overlaps a pattern's span is dropped; pattern spans stay.
+against ordinary identifier, exceeds a cutoff. Both models are first-order chains over the same alphabet, which fall back to
+single characters' shares (add-one smoothing) where pairs are rare. Labelled samples are all of the corpus: values found by
+the patterns are random strings; runs of 8 or more characters outside of them are ordinary identifiers.
+The cutoff is set on the quarter of the runs (by hash) that the models scoring them have not seen; the final models see all. It
+lets through MOST_FALSE of the ordinary runs, unless that would miss more than MOST_MISSED of the patterns' values: then
+(some of the unlabelled runs are secrets themselves, or the two sides overlap) the misses decide. It is never below 0, where
+both models are equally likely. A markov span that overlaps a pattern's span is dropped; pattern spans stay.
 
 Nulls and edges: a null or empty text has no spans; without any pattern hit the random model is uniform; an empty table gives
 an empty result; repeated rows each get their own result. Main path: DataFrame expressions only.
@@ -15,6 +17,7 @@ an empty result; repeated rows each get their own result. Main path: DataFrame e
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +33,9 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 N = len(ALPHABET)
 RUN = "[A-Za-z0-9+/_=-]"
 MIN_RUN, MIN_ORDINARY = 16, 8
-SAMPLE_DOCS = 4000
 BACK_OFF = 16
+MOST_FALSE, MOST_MISSED = 0.01, 0.05
+BINS = 100  # of a unit of score, for the cutoff
 MASK = "[SECRET]"
 
 _SPAN = "array<struct<start:bigint,k:int,end:bigint,kind:string,value:string>>"
@@ -70,28 +74,53 @@ def with_base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
 
 
 def _pairs(runs: DataFrame) -> DataFrame:
-    """(random, pair) rows, a pair of adjacent characters each."""
+    """(random, held, pair) rows, a pair of adjacent characters each."""
     pairs = F.transform(F.sequence(F.lit(1), F.length("run") - 1), lambda i: F.substr("run", i, F.lit(2)))
-    return runs.filter(F.length("run") >= 2).select("random", F.explode(pairs).alias("pair"))
+    return runs.filter(F.length("run") >= 2).select("random", "held", F.explode(pairs).alias("pair"))
 
 
-def _ordinary(docs: DataFrame, sample_docs: int, id_col: str, text_col: str) -> DataFrame:
-    ids = docs.select(F.col(id_col).alias("_key")).distinct().orderBy(F.xxhash64("_key"), "_key").limit(sample_docs)
-    some = docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text")).join(F.broadcast(ids), "_key", "left_semi")
-    based = with_base(some, "_key", "_text")
-    runs = based.select("_base", F.explode(F.regexp_extract_all("_text", F.lit(RUN + "{%d,}" % MIN_ORDINARY), F.lit(0))).alias("run"))
+def _labelled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(random, run): the patterns' values and, outside of them, runs of ordinary identifiers; of all rows, in one pass."""
+    based = with_base(docs, id_col, text_col)
+    runs = F.regexp_extract_all("_text", F.lit(RUN + "{%d,}" % MIN_ORDINARY), F.lit(0))
     # A run that holds a pattern's value is no ordinary identifier.
-    return runs.filter(~F.exists("_base", lambda b: F.col("run").contains(b["value"]) | b["value"].contains(F.col("run")))).select("run")
+    free = F.filter(runs, lambda r: ~F.exists("_base", lambda b: r.contains(b["value"]) | b["value"].contains(r)))
+    of = lambda runs, random: F.transform(runs, lambda r: F.struct(F.lit(random).alias("random"), r.alias("run")))
+    return based.select(F.explode(F.concat(of(F.col("_base.value"), True), of(free, False))).alias("x")).select("x.random", "x.run")
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[float], float]:
-    """The log-likelihood ratios of N x N character pairs, row by row, and the threshold. Both have a fixed size."""
-    values = with_base(docs, id_col, text_col).filter(F.size("_base") > 0).select(F.explode("_base.value").alias("run"))
-    ordinary = _ordinary(docs, sample_docs, id_col, text_col)
-    labelled = values.select("run", F.lit(True).alias("random")).unionByName(ordinary.select("run", F.lit(False).alias("random")))
-    counts = {True: {}, False: {}}
-    for r in _pairs(labelled).filter(F.col("pair").rlike(f"^{RUN}{{2}}$")).groupBy("random", "pair").count().toLocalIterator():  # at most 2 * N * N rows
-        counts[r["random"]][r["pair"]] = r["count"]
+def _cutoff(counts: dict[bool, dict[int, int]]) -> float:
+    """The cutoff from the number of values (True) and of ordinary runs (False) by score bin."""
+
+    def least(bins: dict[int, int], share: float) -> int | None:
+        """The least bin with at most this share of all above it."""
+        above, all_ = 0, sum(bins.values())
+        for b in sorted(bins, reverse=True):
+            above += bins[b]
+            if above > share * all_:
+                return b
+        return None
+
+    false, missed = least(counts[False], MOST_FALSE), least(counts[True], 1 - MOST_MISSED)
+    # The upper end of the ordinary runs' bin, the lower end of the values' bin.
+    ends = ([(false + 1) / BINS] if false is not None else []) + ([missed / BINS] if missed is not None else [])
+    return max(0.0, min(ends, default=0.0))
+
+
+def _held_out(run: Column) -> Column:
+    return F.pmod(F.xxhash64(run, F.lit(3)), F.lit(4)) == 0
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[float], float]:
+    """The log-likelihood ratios of N x N character pairs, row by row, and the cutoff. Both have a fixed size."""
+    labelled = _labelled(docs, id_col, text_col)
+    seen = {True: Counter(), False: Counter()}
+    every = {True: Counter(), False: Counter()}
+    pairs = _pairs(labelled.withColumn("held", _held_out(F.col("run")))).filter(F.col("pair").rlike(f"^{RUN}{{2}}$"))
+    for r in pairs.groupBy("random", "held", "pair").count().toLocalIterator():  # at most 4 * N * N rows
+        every[r["random"]][r["pair"]] += r["count"]
+        if not r["held"]:
+            seen[r["random"]][r["pair"]] += r["count"]
 
     def logs(c: dict) -> list[float]:
         ends = {b: sum(c.get(a + b, 0) for a in ALPHABET) for b in ALPHABET}
@@ -99,10 +128,13 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id
         starts = {a: sum(c.get(a + b, 0) for b in ALPHABET) for a in ALPHABET}
         return [math.log((c.get(a + b, 0) + BACK_OFF * alone[b]) / (starts[a] + BACK_OFF)) for a in ALPHABET for b in ALPHABET]
 
-    ratios = [round(x - y, 6) for x, y in zip(logs(counts[True]), logs(counts[False]), strict=True)]
-    own = ordinary.filter(F.length("run") >= MIN_RUN).select(score(F.col("run"), ratios).alias("s"))
-    middle, high = own.agg(F.percentile("s", F.array(F.lit(0.5), F.lit(0.95))).alias("p")).first()["p"] or (0.0, 0.0)
-    return ratios, max(0.0, middle + 3 * (high - middle))
+    ratios = lambda c: [round(x - y, 6) for x, y in zip(logs(c[True]), logs(c[False]), strict=True)]
+    apart = labelled.filter((F.length("run") >= MIN_RUN) & _held_out(F.col("run")))
+    bins = apart.select("random", F.floor(BINS * score(F.col("run"), ratios(seen))).alias("bin"))
+    found = {True: {}, False: {}}
+    for r in bins.groupBy("random", "bin").count().toLocalIterator():  # scores are bounded, so are their bins
+        found[r["random"]][r["bin"]] = r["count"]
+    return ratios(every), _cutoff(found)
 
 
 def score(run: Column, ratios: list[float]) -> Column:
@@ -129,17 +161,17 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def scan(docs: DataFrame) -> DataFrame:
     """doc_id, counts per kind, a digest of the patterns' spans and all spans, a row for each row of docs."""
-    found = with_spans(docs, train(docs, sample_docs))
+    found = with_spans(docs, train(docs))
     of = lambda kind: F.size(F.filter("_base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(F.col("_id").alias("doc_id"), of("assign"), of("access"), of("hex"), F.sha2(listed(F.col("_base")), 256).alias("base_sha256"), listed(F.col("_all")).alias("spans"))
 
 
-def masked(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, text_col: str = "text") -> DataFrame:
+def masked(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of docs, every secret in the text replaced by MASK; overlapping spans are replaced as one. Other columns stay."""
     columns = docs.columns
-    found = with_spans(docs, train(docs, sample_docs), keep=tuple(columns))
+    found = with_spans(docs, train(docs), keep=tuple(columns))
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
     kept = lambda a, s: F.substr("_text", (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int"))
     step = lambda a, s: F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], F.concat(a["out"], kept(a, s), F.lit(MASK))).otherwise(a["out"]).alias("out"))

@@ -80,6 +80,17 @@ def test_markov_finds_random_strings(spark):
     assert got[0] == "markov:5:45" and all(not got[i] for i in range(1, 41))
 
 
+def test_markov_among_numbers_and_unlabelled_secrets(spark):
+    rnd = random.Random(8)
+    key = lambda n: "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    plain = ["the_quick_brown_foxes jumping overlazydogs inthemorning sunshine_again"] * 300
+    texts = [f"token={key(30)}" for _ in range(600)] + [f"card {rnd.randrange(10**15, 10**16)} paid" for _ in range(30)] + [f"see {key(40)} there" for _ in range(10)] + plain
+    model = secret_scan.train(docs_of(spark, texts))
+    fresh = [f"see {key(40)} there" for _ in range(40)]
+    got = {r._id: r.spans for r in secret_scan.with_spans(docs_of(spark, fresh + plain), model).select("_id", secret_scan.listed(F.col("_all")).alias("spans")).collect()}
+    assert sum(got[i] == "markov:4:44" for i in range(40)) >= 36 and not any(got[i] for i in range(40, 340))
+
+
 def test_bpe(spark):
     import public_tokenizers as P
     import tiktoken
