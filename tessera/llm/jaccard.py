@@ -243,12 +243,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spans = postings.join(reach, "head").groupBy("x").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low != high").select("x")
     at = stored(postings.join(spans, "x", "left_semi").join(named, "head").select("x", "n", "r", "node", "label", (F.ceil(3 * F.col("n") / 4) - 1).alias("past")), "open")
     # Nodes of two components share such shingles only, so no others are compared; a node has at most those of its prefix.
-    at = at.join(at.groupBy("node").agg(F.collect_set("x").alias("post")), "node")
+    # The order by place: all sets share it, so the first shared shingle of one is that of the other.
+    ordered = F.transform(F.sort_array(F.collect_set(F.struct((F.col("n") - F.col("r")).alias("place"), "x"))), lambda p: p["x"])
+    at = at.join(at.groupBy("node").agg(ordered.alias("post")), "node")
     one, two = at, at.select("x", *[F.col(c).alias(f"{c}2") for c in ("n", "r", "node", "label", "post", "past")])
-    # A pair comes up once, in the bucket of its least shared shingle; the shingles shared within the prefixes and all that lies
+    # A pair comes up once, in the bucket of its first shared shingle, where the position filter holds; the shingles shared within the prefixes and all that lies
     # past the prefix must together be enough.
     shared = F.array_intersect("post", "post2")
-    enough = (F.array_min(shared) == F.col("x")) & (7 * (F.size(shared) + F.greatest("past", "past2")) >= 3 * (F.col("n") + F.col("n2")))
+    enough = (F.get(shared, F.lit(0)) == F.col("x")) & (7 * (F.size(shared) + F.greatest("past", "past2")) >= 3 * (F.col("n") + F.col("n2")))
     rest = one.join(two, "x").filter((F.col("label") < F.col("label2")) & _passes(F.col("n"), F.col("r"), F.col("n2"), F.col("r2")) & enough)
     inside = named.join(named.select("head", F.col("node").alias("node2"), F.col("label").alias("label2")), "head").filter("label < label2")
     rest = rest.select("node", "node2").unionByName(inside.select("node", "node2")).select(F.col("node").alias("hub"), F.col("node2").alias("spoke")).distinct()

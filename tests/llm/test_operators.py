@@ -155,6 +155,15 @@ def test_near_duplicates(spark):
     assert kept.columns == [c.split()[0] for c in DOCS.split(", ")] and kept.count() == len({c for _, c in brute_components(texts)})
 
 
+def test_near_duplicates_of_shared_passages(spark):
+    parts = [" ".join(f"w{i}x{j}" for j in range(16)) for i in range(8)]
+    texts = [f"{a} {b}" for a in parts for b in parts if a != b]  # a b and b a: 24 of 32 shingles; every passage is in 14 texts
+    texts += [a.rsplit(" ", 1)[0] for a in parts] * 8  # all but the last shingle of a passage are more frequent
+    random.Random(6).shuffle(texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_components(texts)
+
+
 def test_toxicity(spark):
     rnd = random.Random(4)
     plain = [" ".join(rnd.choice("red green blue tree house river stone cloud".split()) for _ in range(40)) for _ in range(400)]
