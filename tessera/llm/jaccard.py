@@ -52,6 +52,10 @@ def shingles(text: str) -> np.ndarray:
     return h[np.append(True, h[1:] != h[:-1])]
 
 
+def _digest(hashes: np.ndarray) -> str:
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).hexdigest()
+
+
 def _counted(docs: DataFrame, ranges_bits: int) -> np.ndarray:
     """The table: log2 of the number of documents for each slot, by the highest of its shingles; 0 for single ones."""
     import zlib
@@ -98,7 +102,6 @@ def _sketched(docs: DataFrame, table: np.ndarray) -> DataFrame:
         import pyarrow as pa
 
         table = shared.value
-        digest = lambda a: hashlib.blake2b(a.tobytes(), digest_size=16).hexdigest()
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
                 part = batch.slice(lo, 200)
@@ -110,7 +113,7 @@ def _sketched(docs: DataFrame, table: np.ndarray) -> DataFrame:
                     first = np.argsort(level, kind="stable")[:k]  # hashes ascend already
                     joined = np.flatnonzero(level[first])
                     prefix = s[first]
-                    row = (len(s), digest(s), digest(prefix), prefix[joined].view(np.int64), joined, s.tobytes() if len(joined) else None)
+                    row = (len(s), _digest(s), _digest(prefix), prefix[joined].view(np.int64), joined, s.tobytes() if len(joined) else None)
                     for c, v in zip(cols, row, strict=True):
                         c.append(v)
                 kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
@@ -198,6 +201,14 @@ def _merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id for every row of docs."""
+    alone, joined, _, best = _grouped(docs, id_col, text_col)
+    found = joined.select("_id", "n", "node").join(best.select(F.col("key").alias("node"), "component_id"), "node").select("_id", "n", "component_id")
+    return alone.select("_id", "n", F.col("_id").alias("component_id")).unionByName(found).select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, ...]:
+    """Rows (_id, n, node) that share no shingle and rows that share some, the latter's classes (key: the set's digest, rep: the least
+    id, label) by component, and the component_id of each class."""
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     total = rows.count()
     bits = min(14, max(6, (total // 1000).bit_length()))
@@ -259,17 +270,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         labels = _merged(labels, more)
     named = _named(names.select("key", "rep", "node"), labels, "node")
     best = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    found = joined.select("_id", "n", "node").join(named.join(best, "label").select(F.col("key").alias("node"), "component_id"), "node").select("_id", "n", "component_id")
-    return alone.select("_id", "n", F.col("_id").alias("component_id")).unionByName(found).select(F.col("_id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+    return alone, joined, named.select("key", "rep", "label"), named.join(best, "label").select("key", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of docs for every component, with its own columns, and every row that is linked with none. Rows are told apart by
+    their sets, not by ids: of a component the set of least id (null ids last), then of least digest, and of that set's rows the
+    one of least id stays; rows without shingles stay all."""
+    _, _, named, _ = _grouped(docs, id_col, text_col)
+    first = F.min(F.struct(F.col("rep").isNull().alias("last"), "rep", "key"))
+    heads = named.groupBy("label").agg(first.alias("h")).select(F.col("h.key").alias("key"))
+    others = named.select("key").join(heads, "key", "left_anti").select(F.col("key").alias("_node"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    order = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text"))
+    sets = _digested(docs.select(row.alias("_row"), order.alias("_order"), text.alias("_text")))
+    # One row of each set first, which copies reach the shuffle as; then a set has one row, however many copies it had.
+    once = sets.filter("_node is not null").groupBy("_node").agg(F.min_by("_row", "_order").alias("_row")).join(others, "_node", "left_anti")
+    return sets.filter("_node is null").select("_row").unionByName(once.select("_row")).select("_row.*")
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs that are the first of their component, with their own columns; of repeated doc_ids one row stays."""
-    found = stored(near_duplicates(docs, id_col), "found")
-    heads = found.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(heads.select(F.col("doc_id").alias("_head")), F.col(id_col) == F.col("_head"), "left_semi")
-    twice = found.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_head"))
-    if twice.isEmpty():
-        return kept
-    again = kept.join(twice, F.col(id_col) == F.col("_head"), "left_semi").dropDuplicates([id_col])
-    return kept.join(twice, F.col(id_col) == F.col("_head"), "left_anti").unionByName(again)
+def _digested(rows: DataFrame) -> DataFrame:
+    """_row, _order and the digest of the set of _text (_node), null for an empty set."""
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    fields = StructType([*[f for f in rows.schema.fields if f.name != "_text"], StructField("_node", StringType())])
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            found = (shingles(t.as_py()) for t in batch.column(2))
+            nodes = [_digest(s) if len(s) else None for s in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(nodes, pa.string())], ["_row", "_order", "_node"])
+
+    return rows.mapInArrow(run, fields)

@@ -164,6 +164,14 @@ def test_near_duplicates_of_shared_passages(spark):
     assert [got[i] for i in range(len(texts))] == brute_components(texts)
 
 
+def test_one_of_each_by_row(spark):
+    words = lambda k: " ".join(f"{k}{i}" for i in range(30))
+    rows = [(None, words("a")), (None, words("b")), (None, words("b")), (1, words("c")), (1, words("d")), (2, words("d")), (2, words("e")), (3, words("f")), (None, words("f")), (None, None), (4, ""), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(map(tuple, jaccard.one_of_each(df).collect()), key=str)
+    assert got == sorted([(None, words("a")), (None, words("b")), (1, words("c")), (1, words("d")), (2, words("e")), (3, words("f")), (None, None), (4, ""), (4, "")], key=str)
+
+
 def test_toxicity(spark):
     rnd = random.Random(4)
     plain = [" ".join(rnd.choice("red green blue tree house river stone cloud".split()) for _ in range(40)) for _ in range(400)]
