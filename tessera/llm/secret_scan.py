@@ -8,7 +8,9 @@ the patterns are random strings; runs of 8 or more characters outside of them ar
 The cutoff is set on the quarter of the runs (by hash) that the models scoring them have not seen; the final models see all. It
 lets through MOST_FALSE of the ordinary runs, unless that would miss more than MOST_MISSED of the patterns' values: then
 (some of the unlabelled runs are secrets themselves, or the two sides overlap) the misses decide. It is never below 0, where
-both models are equally likely. A markov span that overlaps a pattern's span is dropped; pattern spans stay.
+both models are equally likely. Pattern spans are cut out of a run and what remains on either side is judged. A run that
+does not exceed the cutoff as a whole (a path with a random key, say) is judged by windows of 16 characters; windows that do are joined
+and widened to the next of / _ = - or the run's end.
 
 Nulls and edges: a null or empty text has no spans; without any pattern hit the random model is uniform; an empty table gives
 an empty result; repeated rows each get their own result. Main path: DataFrame expressions only.
@@ -145,15 +147,53 @@ def score(run: Column, ratios: list[float]) -> Column:
     return F.aggregate(pairs, F.lit(0.0), lambda a, i: a + F.coalesce(F.get(table, place(i) * N + place(i + 1)), F.lit(0.0))) / (F.length(run) - 1)
 
 
+def _without(text: Column, spans: Column) -> Column:
+    """The text with blanks in place of the spans, so that all other places stay."""
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    kept = lambda a, s: F.substr(text, (a["at"] + 1).cast("int"), F.greatest(s["start"] - a["at"], F.lit(0)).cast("int"))
+    blank = lambda a, s: F.rpad(F.lit(""), F.greatest(s["end"] - F.greatest(s["start"], a["at"]), F.lit(0)).cast("int"), F.lit(" "))
+    step = lambda a, s: F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], kept(a, s), blank(a, s)).alias("out"))
+    return F.aggregate(spans, zero, step, lambda a: F.concat(a["out"], F.substr(text, (a["at"] + 1).cast("int"), F.length(text))))
+
+
+def _windows(r: Column, ratios: list[float], threshold: float) -> Column:
+    """Spans of the run r's joined windows of MIN_RUN characters above the threshold, widened to delimiters."""
+    table, value, n = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<double>"), r["value"], MIN_RUN - 1
+    let = lambda x, f: F.transform(F.array(x), f)[0]
+    codes = F.transform(F.split(value, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    pairs = let(codes, lambda c: F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), lambda a, b: F.coalesce(F.get(table, a * N + b), F.lit(0.0))))
+    moves = let(pairs, lambda p: F.zip_with(p, F.concat(F.array_repeat(F.lit(0.0), n), F.slice(p, F.lit(1), F.size(p) - n)), lambda a, b: F.struct(a.alias("to"), b.alias("off"))))
+    none = F.array().cast("array<struct<a:int,b:int>>")
+    zero = F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("sum"), F.lit(-1).alias("a"), F.lit(-1).alias("b"), none.alias("done"))
+
+    def step(s, m):
+        now, end = s["sum"] + m["to"] - m["off"], s["i"] + 2  # the window ends before this character
+        hit = (s["i"] >= n - 1) & (now > n * threshold + 1e-9)
+        apart = hit & (end - MIN_RUN > s["b"])
+        done = F.when(apart & (s["b"] >= 0), F.concat(s["done"], F.array(F.struct(s["a"], s["b"])).cast("array<struct<a:int,b:int>>"))).otherwise(s["done"])
+        return F.struct((s["i"] + 1).alias("i"), now.alias("sum"), F.when(apart, end - MIN_RUN).otherwise(s["a"]).alias("a"), F.when(hit, end).otherwise(s["b"]).alias("b"), done.alias("done"))
+
+    found = F.aggregate(moves, zero, step, lambda s: F.when(s["b"] >= 0, F.concat(s["done"], F.array(F.struct(s["a"], s["b"])).cast("array<struct<a:int,b:int>>"))).otherwise(s["done"]))
+    rest = "[^/_=-]*"
+    before = lambda w: F.length(F.regexp_extract(F.substr(value, F.lit(1), w["a"]), rest + "$", 0))
+    after = lambda w: F.length(F.regexp_extract(F.substr(value, w["b"] + 1, F.length(value)), "^" + rest, 0))
+
+    def span(w):
+        a, b = w["a"] - before(w), w["b"] + after(w)
+        return F.struct((r["start"] + a).alias("start"), r["k"].alias("k"), (r["start"] + b).alias("end"), r["kind"].alias("kind"), F.substr(value, a + 1, b - a).alias("value"))
+
+    return F.array_distinct(F.transform(found, span)).cast(_SPAN)
+
+
 def with_spans(docs: DataFrame, model: tuple[list[float], float], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Adds _all to with_base(): the patterns' and the models' spans by start, then kind."""
     ratios, threshold = model
     base = with_base(docs, id_col, text_col, keep)
     run = RUN + "{%d,}" % MIN_RUN
-    runs = base.withColumn("_runs", _if(F.col("_text").rlike(run), _spans(F.col("_text"), run, "markov")))
-    free = lambda r: ~F.exists("_base", lambda b: (b["start"] < r["end"]) & (b["end"] > r["start"]))
-    random = F.filter("_runs", lambda r: free(r) & (score(r["value"], ratios) > threshold))
-    return runs.withColumn("_all", F.sort_array(F.concat("_base", random))).drop("_runs")
+    cut = base.withColumn("_cut", F.when(F.size("_base") > 0, _without(F.col("_text"), F.col("_base"))).otherwise(F.col("_text")))
+    runs = cut.withColumn("_runs", _if(F.col("_cut").rlike(run), _spans(F.col("_cut"), run, "markov")))
+    random = F.flatten(F.transform("_runs", lambda r: F.when(score(r["value"], ratios) > threshold, F.array(r)).otherwise(_windows(r, ratios, threshold))))
+    return runs.withColumn("_all", F.sort_array(F.concat("_base", random))).drop("_runs", "_cut")
 
 
 def listed(spans: Column) -> Column:

@@ -91,6 +91,18 @@ def test_markov_among_numbers_and_unlabelled_secrets(spark):
     assert sum(got[i] == "markov:4:44" for i in range(40)) >= 36 and not any(got[i] for i in range(40, 340))
 
 
+def test_markov_inside_runs(spark):
+    rnd = random.Random(9)
+    key = lambda n: "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    path = "the_quick_brown_foxes/overlazydogs/inthemorning/sunshine_again"
+    model = secret_scan.train(docs_of(spark, [f"token={key(30)}" for _ in range(600)] + [f"{path} jumping"] * 300))
+    one, two = key(24), key(40)
+    texts = [f"é {path}/{path}/{one}/{path}/{path}", "0a" * 12 + "/" + two, f"{path}/{path}", f"{path}/{path}/{one}/{path}/{path}/{path}/{two}/{path}/{path}"]
+    got = [r.text for r in secret_scan.with_spans(docs_of(spark, texts), model).select("_id", F.transform("_all", lambda s: s["value"]).alias("text")).orderBy("_id").collect()]
+    assert one in " ".join(got[0]) and sum(map(len, got[0])) < 60 and got[1][0] == "0a" * 12 and two in " ".join(got[1][1:])
+    assert not got[2] and len(got[3]) == 2 and one in got[3][0] and two in got[3][1]
+
+
 def test_bpe(spark):
     import public_tokenizers as P
     import tiktoken
