@@ -3,8 +3,8 @@
 Words (lower case, outer punctuation off) are hashed into BUCKETS embeddings. Filters of several widths slide over a text, each
 keeps its greatest response anywhere in the text, and a logistic layer weighs them. The fit uses at most ``per_class``
 labelled rows of each class (those of smallest hash), weighted back to the classes' true shares, which are counted over all
-labelled rows; a second bounded sample, disjoint from the first, scales the scores (Platt) and sets a threshold per language
-where it has enough positives, else for all languages together. Scores come from the text alone. Every row is scored, over
+labelled rows; all other labelled rows (a quarter, by hash) are scored and counted by language, score bin and label, and these
+counts scale the scores (Platt) and set a threshold per language where it has enough positives, else for all languages together. Scores come from the text alone. Every row is scored, over
 its whole text, with filters folded into the embeddings, so that a word costs one table row per filter offset.
 
 Nulls and edges: null and empty texts are scored as an empty text; labels with nulls are ignored; a doc_id with several
@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 15, 16, (1, 2, 3), 12
 PER_CLASS, EPOCHS, MOST_EPOCHS, STEPS, BATCH = 3000, 4, 12, 800, 32
 MIN_POSITIVES = 40
+BINS = 200  # of a unit of logit, for scale and thresholds
 OUTER = ".,;:!?\"'()[]{}*#$%&|<>«»¡¿-"
 
 
@@ -143,6 +144,15 @@ def _sample(docs: DataFrame, labels: DataFrame, per_class: int, id_col: str, tex
     return sorted(zip(found.column("id").to_pylist(), ids, found.column("lang").to_pylist(), found.column("y").to_pylist(), strict=True), key=lambda r: (r[0], len(r[1]), r[1].tobytes()))
 
 
+def _counted(docs: DataFrame, labels: DataFrame, model: tuple, id_col: str, text_col: str, lang_col: str) -> list:
+    """Rows of every labelled document's language, bin of its logit and label, with their count, in a fixed order."""
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).join(labels, "_id")
+    found = scores(rows, model, ["_lang", "_y"], "_text")
+    p = F.greatest(F.least("_score", F.lit(1 - 1e-15)), F.lit(1e-15))
+    counts = found.select("_lang", "_y", F.floor(F.log(p / (1 - p)) * BINS).alias("_bin")).groupBy("_lang", "_bin", "_y").count()
+    return sorted(counts.collect(), key=lambda r: (r["_lang"] or "", r["_bin"], r["_y"]))  # bounded by languages x bins
+
+
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "toxic") -> tuple[tuple, dict]:
     """The folded model and the thresholds by language (None: all the others). labels must not hold held-out rows."""
     y = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("int").alias("_y")).filter("_id is not null and _y in (0, 1)").groupBy("_id").agg(F.max("_y").alias("_y"))
@@ -154,7 +164,6 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col
         return net.folded(), {None: 0.3}
     calibrates = F.pmod(F.xxhash64("_id", F.lit(5)), F.lit(4)) == 0
     first = _sample(docs, y.filter(~calibrates), per_class, id_col, text_col, lang_col)
-    second = _sample(docs, y.filter(calibrates), per_class, id_col, text_col, lang_col)
 
     def arrays(rows: list) -> tuple[list, np.ndarray, np.ndarray]:
         labels = np.array([r[3] for r in rows], np.float32)
@@ -164,10 +173,11 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col
     if len({r[3] for r in first}) == 2:
         net.fit(*arrays(first))
     model = net.folded()
-    _, truth, weight = arrays(second)
+    counts = _counted(docs, y.filter(calibrates), model, id_col, text_col, lang_col)
+    truth, weight = np.array([r["_y"] for r in counts], np.float64), np.array([r["count"] for r in counts], np.float64)
     if len(set(truth)) < 2:
         return model, {None: 0.3}
-    z = np.array([logit(model, r[1]) for r in second])
+    z = np.array([(r["_bin"] + 0.5) / BINS for r in counts])
     a, b = 1.0, 0.0
     for _ in range(300):  # Platt's scaling with a weak pull to a = 1, b = 0
         p = 1 / (1 + np.exp(-np.clip(a * z + b, -40, 40)))
@@ -186,11 +196,11 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col
         i = int(f1.argmax())
         return float(min(max((s[i] + s[i + 1]) / 2 if i + 1 < len(s) else s[i], 0.05), 0.9))
 
-    langs = np.array([r[2] or "" for r in second])
-    cuts = {None: best(np.ones(len(z), bool)) if truth.sum() >= MIN_POSITIVES else 0.5}
+    langs = np.array([r["_lang"] or "" for r in counts])
+    cuts = {None: best(np.ones(len(z), bool)) if (weight * truth).sum() >= MIN_POSITIVES else 0.5}
     for lang in sorted(set(langs) - {""}):
         own = langs == lang
-        if truth[own].sum() >= MIN_POSITIVES and (1 - truth[own]).sum() >= MIN_POSITIVES:
+        if (weight * truth)[own].sum() >= MIN_POSITIVES and (weight * (1 - truth))[own].sum() >= MIN_POSITIVES:
             cuts[lang] = best(own)
     return net.folded(), cuts
 

@@ -196,6 +196,13 @@ def test_toxicity(spark):
     assert toxicity.classify(docs_of(spark, texts), labels.limit(0)).filter("predicted = 1").count() == 0
 
 
+def test_toxicity_thresholds_use_all_labels(spark):
+    rows = [(i, f"red green blue w{i % 7}" + (" vile scum" if i % 4 == 0 else ""), "de" if i % 3 else "en", int(i % 4 == 0)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, toxic int")
+    _, cuts = toxicity.train(df, df.select("doc_id", "toxic"), per_class=50)
+    assert set(cuts) == {None, "de", "en"}  # with 50 rows a class for the fit, each language still has over 40 toxic rows
+
+
 def test_packing(spark):
     sizes = [10, 300, 513, 4096, 9000, 1, 1, 700, 2000]
     texts = [None, "", *(" ".join(["w"] * n) for n in sizes)]
