@@ -52,21 +52,34 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, key: str, name: str, buckets: int) -> DataFrame:
-    """The rows written once, in the shared folder, as a table bucketed by key: joins on it move the other side only.
-
-    The last shuffle of df must be by key alone; it is made with one partition per bucket, so each task writes one file.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    table = path.rsplit("/", 1)[1].replace("-", "_")
-    own = {"spark.sql.shuffle.partitions": str(buckets), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
-    usual = {k: spark.conf.get(k) for k in own}
-    try:
-        for k, v in own.items():
-            spark.conf.set(k, v)
-        df.write.bucketBy(buckets, key).option("path", path).saveAsTable(table)
-    finally:
-        for k, v in usual.items():
-            spark.conf.set(k, v)
-    return spark.table(table)
+class Scratch:
+    """Tables that one operator writes on its way, deleted together once its result no longer reads them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.tables = spark, [], []
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        path = fresh_path(self.spark, name)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def bucketed(self, df: DataFrame, key: str, name: str, buckets: int) -> DataFrame:
+        """The rows as a table bucketed by key: joins and groups on it move the other side only. Rows of a task go to one file per
+        bucket, so df should be dealt by key already, or hold few keys a task."""
+        path = fresh_path(self.spark, name)
+        table = path.rsplit("/", 1)[1].replace("-", "_")
+        self.paths.append(path)
+        self.tables.append(table)
+        df.write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+        return self.spark.table(table)
+
+    def drop(self) -> None:
+        """Deletes what was written; calling it twice does no harm."""
+        for table in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for path in self.paths:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+        self.paths, self.tables = [], []
