@@ -85,21 +85,21 @@ def unpacked(blob: bytes, n: int) -> np.ndarray:
     return np.cumsum(steps.view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def outline(hashes: np.ndarray) -> bytes:
-    """A bitmap of 4 to 8 bits for each hash."""
-    bits = np.zeros(1 << max(6, (4 * len(hashes) - 1).bit_length()), np.uint8)
+def outline(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A bitmap of 4 to 8 bits for each of size shingles, as 64-bit words."""
+    bits = np.zeros(1 << max(6, (4 * size - 1).bit_length()), np.uint8)
     bits[(hashes & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
-    return np.packbits(bits, bitorder="little").tobytes()
+    return np.packbits(bits, bitorder="little").view(np.int64)
 
 
-def most_shared(a: bytes, n_a: int, b: bytes, n_b: int) -> int:
-    """No fewer than the two sets share; the larger outline is folded to the smaller's size, where a hash keeps its low bits."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    while len(x) > len(y):
-        x = x[: len(x) // 2] | x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] | y[len(y) // 2 :]
-    return min(n_a - int(np.bitwise_count(x & ~y).sum()), n_b - int(np.bitwise_count(y & ~x).sum()))
+def most_shared(a: Column, n_a: Column, b: Column, n_b: Column) -> Column:
+    """No fewer than two sets of n_a and n_b hashes share: what one has where the other's outline is empty isn't shared. The larger outline is
+    folded to the smaller's size, where a hash keeps its low bits; sets that pass the size filter differ by one fold at most."""
+    size = F.least(F.size(a), F.size(b))
+    fold = lambda o: F.when(F.size(o) > size, F.zip_with(F.slice(o, F.lit(1), size), F.slice(o, size + 1, size), lambda x, y: x.bitwiseOR(y))).otherwise(o)
+    lacks = F.zip_with(fold(a), fold(b), lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y))).cast("long") * (1 << 32) + F.bit_count(y.bitwiseAND(F.bitwise_not(x))))
+    both = F.aggregate(lacks, F.lit(0).cast("long"), lambda s, x: s + x)
+    return F.transform(F.array(both), lambda v: F.least(n_a - F.shiftright(v, 32), n_b - v.bitwiseAND(F.lit((1 << 32) - 1))))[0]
 
 
 ROWS = "chunk bigint, _id bigint, node string, size bigint, text string"
@@ -185,7 +185,7 @@ def _answered(texts: DataFrame, total: int, bits: int) -> DataFrame:
     return asked.groupBy("part").applyInPandas(answer, "chunk bigint, n int, heads binary, levels binary")
 
 
-CLASSES = "key string, n bigint, shared bigint, prefix string, post array<bigint>, place array<bigint>, outline binary, hashes binary"
+CLASSES = "key string, n bigint, shared bigint, prefix string, post array<bigint>, place array<bigint>, outline array<bigint>, hashes binary"
 
 
 def _sketched(texts: DataFrame, answers: DataFrame, bits: int) -> DataFrame:
@@ -223,7 +223,7 @@ def _sketched(texts: DataFrame, answers: DataFrame, bits: int) -> DataFrame:
                 # The single shingles of a prefix are no other set's, so such a class is a group of its own.
                 prefix = _digest(post.tobytes() + (key.encode() if alone else b""))
                 own = np.sort(own)
-                out.append((key, size, len(own), prefix, post.view(np.int64), alone + np.arange(len(post)), outline(own), own.tobytes()))
+                out.append((key, size, len(own), prefix, post.view(np.int64), alone + np.arange(len(post)), outline(own, size), own.tobytes()))
             else:
                 out.append((key, size, len(own), None, None, None, None, None))
         return pd.DataFrame(out, columns=columns)
@@ -239,18 +239,9 @@ def _passes(n1: Column, r1: Column, n2: Column, r2: Column) -> Column:
 
 def _bounded(pairs: DataFrame, names: DataFrame) -> DataFrame:
     """The (hub, spoke) whose outlines leave room for enough shared shingles."""
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            keep = [7 * most_shared(a, s, b, t) >= 3 * n for a, s, b, t, n in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)]
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["hub", "spoke"]).filter(pa.array(keep, pa.bool_()))
-
-    a = names.select(F.col("node").alias("hub"), F.col("n").alias("n1"), F.col("shared").alias("s1"), F.col("outline").alias("o1"))
-    b = names.select(F.col("node").alias("spoke"), F.col("n").alias("n2"), F.col("shared").alias("s2"), F.col("outline").alias("o2"))
-    both = pairs.join(b, "spoke").join(a, "hub").select("hub", "spoke", "o1", "s1", "o2", "s2", (F.col("n1") + F.col("n2")).alias("n"))
-    return both.mapInArrow(run, "hub bigint, spoke bigint")
+    side = lambda end, i: names.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}{i}") for c in ("n", "shared", "outline")])
+    enough = 7 * most_shared(F.col("outline1"), F.col("shared1"), F.col("outline2"), F.col("shared2")) >= 3 * (F.col("n1") + F.col("n2"))
+    return pairs.join(side("spoke", 2), "spoke").join(side("hub", 1), "hub").filter(enough).select("hub", "spoke")
 
 
 def _verified(pairs: DataFrame, names: DataFrame, sets: DataFrame) -> DataFrame:
@@ -389,16 +380,18 @@ def _linked(postings: DataFrame, names: DataFrame, sets: DataFrame, scratch: Scr
     # Nodes of two components share such shingles only, so no others are compared; a node has at most those of its prefix.
     # The order by place: all sets share it, so the first shared shingle of one is that of the other.
     ordered = F.transform(F.sort_array(F.collect_set(F.struct((F.col("n") - F.col("r")).alias("place"), "x"))), lambda p: p["x"])
-    at = at.join(at.groupBy("node").agg(ordered.alias("post")), "node")
-    one, two = at, at.select("x", *[F.col(c).alias(f"{c}2") for c in ("n", "r", "node", "label", "post", "past")])
+    at = at.join(at.groupBy("node").agg(ordered.alias("post")), "node").join(names.select("node", "shared", "outline"), "node")
+    one, two = at, at.select("x", *[F.col(c).alias(f"{c}2") for c in at.columns if c != "x"])
     # A pair comes up once, in the bucket of its first shared shingle, where the position filter holds; the shingles shared within the prefixes and all that lies
-    # past the prefix must together be enough.
-    shared = F.array_intersect("post", "post2")
-    enough = (F.get(shared, F.lit(0)) == F.col("x")) & (7 * (F.size(shared) + F.greatest("past", "past2")) >= 3 * (F.col("n") + F.col("n2")))
+    # past the prefix must together be enough, and so must what the outlines leave.
+    common, need = F.array_intersect("post", "post2"), 3 * (F.col("n") + F.col("n2"))
+    enough = (F.get(common, F.lit(0)) == F.col("x")) & (7 * (F.size(common) + F.greatest("past", "past2")) >= need)
+    enough &= 7 * most_shared(F.col("outline"), F.col("shared"), F.col("outline2"), F.col("shared2")) >= need
     rest = one.join(two, "x").filter((F.col("label") < F.col("label2")) & _passes(F.col("n"), F.col("r"), F.col("n2"), F.col("r2")) & enough)
     inside = named.join(named.select("head", F.col("node").alias("node2"), F.col("label").alias("label2")), "head").filter("label < label2")
-    rest = rest.select("node", "node2").unionByName(inside.select("node", "node2")).select(F.col("node").alias("hub"), F.col("node2").alias("spoke")).distinct()
-    more = scratch.stored(_verified(scratch.stored(_bounded(scratch.stored(_unseen(rest, done), "pairs"), names), "bounded"), names, sets), "links")
+    ends = [F.col("node").alias("hub"), F.col("node2").alias("spoke")]
+    rest = rest.select(*ends).unionByName(_bounded(inside.select(*ends), names)).distinct()
+    more = scratch.stored(_verified(scratch.stored(_unseen(rest, done), "pairs"), names, sets), "links")
     return labels if more.isEmpty() else _merged(labels, more, scratch)
 
 
