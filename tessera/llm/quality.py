@@ -1,15 +1,16 @@
 """Quality rules with risk-controlled cutoffs.
 
-Every rule rejects a document whose feature exceeds a cutoff. Cutoffs are not guessed: for each stratum (language) and rule
-a fixed ladder of cutoffs, from lenient to strict, is tested on labelled good documents. The null hypothesis of a step is
-that the rule would reject more than ``risk`` of all good documents of the stratum; its p-value is the exact binomial tail.
-Steps are tested in order and stop at the first that isn't rejected, so no step needs a correction of its own; the ladders
-(strata x rules) share ``delta`` by Bonferroni. With probability 1 - delta every chosen cutoff keeps its promise, and by the
-union bound a stratum loses at most ``false_rejection`` of its good documents to all rules together.
+Every rule rejects a document whose feature exceeds a cutoff. Cutoffs are not guessed: for each stratum (language) one fixed sequence of
+joint settings, from lenient to strict, is tested on labelled good documents that pass the base rule. Each setting tightens one rule by
+one rung of its ladder, the rules in turn. The null hypothesis of a setting is that its rules together would reject more than
+``false_rejection`` of the stratum's good documents; its p-value is the exact binomial tail. Settings are tested in order and the
+sequence ends at the first that isn't rejected, so no setting needs a correction of its own; the strata share ``delta`` by Bonferroni. With
+probability 1 - delta every stratum's setting rejects at most that share of the good documents that pass the base rule. As all rules stand in one
+sequence, a stratum needs only as many labels as one test at that level does: some 230 where none is rejected.
 
 Nulls and edges: a null text counts as empty; empty texts have no words and fail the base rule; a null or unknown language
 belongs to the pooled stratum; labels with null quality or doc_id are ignored; if labels name a document twice, one good
-label makes it good; copies of one text count once in the holdout. Where labels are too few to prove a cutoff, the rule is
+label makes it good; copies of one text count once in the holdout. Where labels are too few to prove a setting, the rules are
 off. Repeated rows are judged alike, each on its own row.
 """
 
@@ -124,26 +125,29 @@ def binomial_tail(k: Column, n: Column, p: float) -> Column:
 
 
 def cutoffs(feats: DataFrame, labels: DataFrame, false_rejection: float = 0.02, delta: float = 0.05, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
-    """feats: stored features, as a filter on computed ones would be pushed below and compute them anew. One row per stratum: _stratum and _c_<rule>, the strictest proven cutoff of each rule or null.
+    """feats: stored features, as a filter on computed ones would be pushed below and compute them anew. One row per stratum with a proven
+    setting: _stratum and _c_<rule>, the rule's cutoff in it or null.
 
-    At most len(STRATA) + 1 rows, whatever the input. Before grouping, the labelled rows shrink to counts per stratum, rule
-    and ladder step.
+    At most len(STRATA) + 1 rows, whatever the input. Before grouping, the labelled rows shrink to counts per stratum and setting.
     """
-    risk = false_rejection / len(LADDERS)
-    level = delta / (len(LADDERS) * (len(STRATA) + 1))
+    level, rules, rungs = delta / (len(STRATA) + 1), list(LADDERS), len(next(iter(LADDERS.values())))
     good = labels.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_good")).filter("_id is not null and _good is not null").groupBy("_id").agg(F.max("_good").alias("_good")).filter("_good = 1")
-    passed = lambda rule: F.size(F.filter(F.array(*[F.lit(c) for c in LADDERS[rule]]), lambda c: F.col(f"_r_{rule}") > c))
-    held = feats.filter(~F.col("base_failed")).select("_id", "_stratum", "_copy", *[passed(r).alias(f"_m_{r}") for r in LADDERS]).join(good, "_id", "left_semi").drop("_id").dropDuplicates(["_stratum", "_copy"])
-    # A document that exceeds the cutoffs of m steps is one of the strictest m: it is rejected from step 20 - m on.
-    steps = held.select("_stratum", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), (F.lit(len(v)) - F.col(f"_m_{r}")).alias("step")) for r, v in LADDERS.items()])).alias("x"))
-    counts = steps.groupBy("_stratum", "x.rule", "x.step").agg(F.count("*").alias("n"))
-    ladder = counts.sparkSession.createDataFrame([(r, i, c) for r, v in LADDERS.items() for i, c in enumerate(v)], "rule string, step int, cutoff double")
-    totals = counts.groupBy("_stratum", "rule").agg(F.sum("n").alias("total"))
-    rung = totals.join(F.broadcast(ladder), "rule").join(counts, ["_stratum", "rule", "step"], "left")
-    upto = Window.partitionBy("_stratum", "rule").orderBy("step")
-    tested = rung.withColumn("k", F.sum(F.coalesce("n", F.lit(0))).over(upto)).withColumn("p", binomial_tail(F.col("k"), F.col("total"), risk))
-    proven = tested.withColumn("worst", F.max("p").over(upto)).filter(F.col("worst") <= level)
-    return proven.groupBy("_stratum").agg(*[F.min(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_c_{r}") for r in LADDERS])
+
+    def first(i: int, rule: str) -> Column:
+        """The first setting at which the rule rejects a document: it exceeds the cutoffs of its m strictest rungs."""
+        m = F.size(F.filter(F.array(*[F.lit(c) for c in LADDERS[rule]]), lambda c: F.col(f"_r_{rule}") > c))
+        return F.when(m > 0, (rungs - m) * len(rules) + i)
+
+    never = len(rules) * rungs
+    setting = F.coalesce(F.least(*[first(i, r) for i, r in enumerate(rules)]), F.lit(never)).alias("setting")
+    held = feats.filter(~F.col("base_failed")).select("_id", "_stratum", "_copy", setting).join(good, "_id", "left_semi").drop("_id").dropDuplicates(["_stratum", "_copy"])
+    counts = held.groupBy("_stratum", "setting").agg(F.count("*").alias("n"))
+    totals = counts.groupBy("_stratum").agg(F.sum("n").alias("total")).withColumn("setting", F.explode(F.sequence(F.lit(0), F.lit(never - 1))))
+    upto = Window.partitionBy("_stratum").orderBy("setting")
+    tested = totals.join(counts, ["_stratum", "setting"], "left").withColumn("k", F.sum(F.coalesce("n", F.lit(0))).over(upto)).withColumn("p", binomial_tail(F.col("k"), F.col("total"), false_rejection))
+    proven = tested.withColumn("worst", F.max("p").over(upto)).filter(F.col("worst") <= level).groupBy("_stratum").agg(F.max("setting").alias("last"))
+    rung = lambda i: F.floor((F.col("last") - i) / len(rules)).cast("int")
+    return proven.select("_stratum", *[F.get(F.array(*[F.lit(c) for c in LADDERS[r]]), rung(i)).alias(f"_c_{r}") for i, r in enumerate(rules)])
 
 
 def judge(feats: DataFrame, cuts: DataFrame) -> DataFrame:
