@@ -2,10 +2,10 @@
 
 Rules hold for a host and its subdomains where the url's path starts with theirs; the longest wins (host, then path). Hosts
 without a rule are judged by their neighbourhood: personalised PageRank from trusted hosts runs along links, and distrust
-runs from blocked hosts against them (who links to a bad host is bad). Edges are the hyperlinks between hosts and a link from a
-subdomain to its parent domain if that is a host of the table or a link's target; a link counts by its share of the host's links. Every host
-that links out has a row; a host without out-links keeps its rank's mass out of the sum, which scales all alike. A host is blocked if its distrust
-exceeds its trust by more than MARGIN of a seed's share.
+runs from blocked hosts against them (who links to a bad host is bad). Edges are the hyperlinks between hosts, and with ``parents`` a link from a
+subdomain to its parent domain, if that is a host of the table or a link's target; a link counts by its share of the host's links. A host without
+out-links returns its mass to the seeds, which scales all ranks of a kind alike; they are given on the scale where one seed's restart is 1. Rounds
+go on until the ranks still to come are below TOLERANCE of the restart. A host is blocked if its distrust exceeds its trust by more than MARGIN.
 
 Nulls and edges: a null url or one without "://" has an empty host and path and is allowed unless a rule fits; a null html has no links;
 repeated rows count their links again; without seeds of a kind its ranks are 0. DataFrame expressions only.
@@ -20,7 +20,8 @@ from .common import stored
 
 # Fixed values: (verdict, host, path prefix).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-DAMPING, ROUNDS, MARGIN = 0.85, 12, 0.5
+DAMPING, TOLERANCE, MARGIN = 0.85, 1e-3, 0.5
+STRIDE = 4  # rounds between two stored ones
 LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?([a-z][a-z0-9+.-]*://[^"'\s>#?]+)"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -43,35 +44,40 @@ def rule_for(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def host_edges(pages: DataFrame) -> DataFrame:
+def host_edges(pages: DataFrame, parents: bool = False) -> DataFrame:
     """(src, dst, links) between different hosts; pages shrink to counts per pair before they are shuffled."""
     host, _ = host_path(F.col("url"))
     linked = pages.select(host.alias("src"), F.explode(F.transform(F.regexp_extract_all("html", F.lit(LINK), F.lit(1)), lambda u: host_path(u)[0])).alias("dst"))
     links = linked.filter("src != '' and dst != '' and src != dst").groupBy("src", "dst").agg(F.count("*").alias("links"))
+    if not parents:
+        return links
     hosts = pages.select(host.alias("h")).distinct().unionByName(links.select(F.col("dst").alias("h"))).distinct().filter("h != ''")
-    parents = hosts.select(F.col("h").alias("src"), F.regexp_replace("h", r"^[^.]+\.", "").alias("dst")).filter("src != dst").join(hosts.select(F.col("h").alias("dst")), "dst", "left_semi").select("src", "dst", F.lit(1).cast("long").alias("links"))
-    return links.unionByName(parents).groupBy("src", "dst").agg(F.sum("links").alias("links"))
+    up = hosts.select(F.col("h").alias("src"), F.regexp_replace("h", r"^[^.]+\.", "").alias("dst")).filter("src != dst").join(hosts.select(F.col("h").alias("dst")), "dst", "left_semi").select("src", "dst", F.lit(1).cast("long").alias("links"))
+    return links.unionByName(up).groupBy("src", "dst").agg(F.sum("links").alias("links"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """(host, kind, rank): both rankings in one run. seeds: (host, kind, share); trust flows along edges, distrust against them.
-    Ranks are in units of what a seed without any links keeps."""
+def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING) -> DataFrame:
+    """(host, kind, rank): both rankings in one run. seeds: (host, kind, share); trust flows along edges, distrust against them."""
     ways = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), "links").unionByName(edges.select(F.lit("distrust").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to"), "links"))
     totals = ways.groupBy("kind", "host").agg(F.sum("links").alias("all"))
     ways = stored(ways.join(totals, ["kind", "host"]).select("kind", "host", "to", (F.col("links") / F.col("all")).alias("w")), "ways")
     start = stored(seeds.select("kind", "host", "share"), "seeds")
     if ways.isEmpty():
         return start.select("host", "kind", F.col("share").alias("rank"))
-    ranks = start.withColumnRenamed("share", "rank")
-    for turn in range(rounds):
-        moved = ranks.join(ways, ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("rank") * F.col("w") * damping).alias("rank"))
-        ranks = moved.unionByName(start.select("kind", "host", (F.col("share") * (1 - damping)).alias("rank"))).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
-        if turn % 4 == 3:
-            ranks = stored(ranks, "ranks")
-    return ranks.select("host", "kind", (F.col("rank") / (1 - damping)).alias("rank"))
-
-
-def judge(pages: DataFrame, rules=RULES, margin: float = MARGIN) -> DataFrame:
+    moved, ranks = start.withColumnRenamed("share", "rank"), start.withColumnRenamed("share", "rank")
+    # What moves in a round is damping times what moved before, at most: the sum of all rounds to come is known from the last.
+    while True:
+        for _ in range(STRIDE):
+            moved = moved.join(ways, ["kind", "host"]).groupBy("kind", F.col("to").alias("host")).agg(F.sum(F.col("rank") * F.col("w") * damping).alias("rank"))
+            ranks = ranks.unionByName(moved)
+        moved = stored(moved, "moved")
+        ranks = stored(ranks.groupBy("kind", "host").agg(F.sum("rank").alias("rank")), "ranks")
+        left = moved.groupBy("kind").agg(F.sum("rank").alias("m")).agg(F.max("m")).first()[0] or 0.0
+        if left * damping / (1 - damping) <= tolerance:
+            return ranks.select("host", "kind", "rank")
+
+
+def judge(pages: DataFrame, rules=RULES, margin: float = MARGIN, parents: bool = False) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust for every row of pages."""
     host, path = host_path(F.col("url"))
     # A host is a seed by what the rules say of the pages seen under it: all pages of a host weigh as one.
@@ -80,7 +86,7 @@ def judge(pages: DataFrame, rules=RULES, margin: float = MARGIN) -> DataFrame:
     weights = stored(seen.select("host", F.explode(F.array(F.struct(F.lit("trust").alias("kind"), (F.col("allow") / F.col("n")).alias("w")), F.struct(F.lit("distrust").alias("kind"), (F.col("block") / F.col("n")).alias("w")))).alias("s")).select("host", "s.kind", "s.w").filter("w > 0"), "weights")
     sums = weights.groupBy("kind").agg(F.sum("w").alias("all"))
     seeds = weights.join(F.broadcast(sums), "kind").select("host", "kind", (F.col("w") / F.col("all")).alias("share"))
-    ranks = propagate(host_edges(pages), seeds).join(F.broadcast(sums), "kind")
+    ranks = propagate(host_edges(pages, parents), seeds).join(F.broadcast(sums), "kind")
     # In units of one seed, so that the threshold doesn't depend on the number of hosts.
     hosts = ranks.groupBy(F.col("host").alias("_host")).agg(*[F.sum(F.when(F.col("kind") == k, F.col("rank") * F.col("all")).otherwise(0.0)).alias(k) for k in ("trust", "distrust")])
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
