@@ -12,7 +12,8 @@ either side, directly or over one other record of the transaction. Their records
 count before the join, so a capture with countless records stays one row.
 
 Nulls and edges: a null html is an empty payload; null urls are left out of the header; rows with a null page_id keep an empty one; repeated
-rows are captures of their own; of rows with the largest page_id of a payload, all are responses. A record cut short by the file's end is skipped.
+rows are captures of their own; of rows with the largest page_id of a payload, all are responses. A record cut short by the file's end
+or by a broken gzip member, or with a malformed length, is skipped.
 """
 
 from __future__ import annotations
@@ -71,13 +72,23 @@ def write_archives(pages: DataFrame, path: str, date: str = "2020-01-01T00:00:00
 
 
 def parse(data: bytes) -> Iterator[dict]:
-    """The records of one file, one after another; gzip members are inflated as they are met."""
-    import base64
-    import hashlib
-    import io
+    """The records of one file, one after another; gzip members are inflated as they are met. What follows a broken or cut gzip member is
+    skipped, and so is a record whose length is missing its number or runs past the end."""
     import gzip
+    import io
+    import zlib
 
     stream = io.BufferedReader(gzip.GzipFile(fileobj=io.BytesIO(data))) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
+    try:
+        yield from _records(stream)
+    except (EOFError, zlib.error, gzip.BadGzipFile):
+        return
+
+
+def _records(stream) -> Iterator[dict]:
+    import base64
+    import hashlib
+
     while line := stream.readline():
         if not line.startswith(b"WARC/"):
             continue
@@ -85,9 +96,11 @@ def parse(data: bytes) -> Iterator[dict]:
         while (line := stream.readline()).strip():
             name, _, value = line.decode("utf-8", "replace").partition(":")
             fields.setdefault(name.strip().lower(), []).append(value.strip())
-        size = int(fields.get("content-length", ["0"])[0])
-        block = stream.read(size)
-        if len(block) < size:
+        size = fields.get("content-length", ["0"])[0]
+        if not (size.isascii() and size.isdigit()):
+            continue  # the next line that starts a record goes on
+        block = stream.read(int(size))
+        if len(block) < int(size):
             return
         kind = fields.get("warc-type", [""])[0].lower()
         one = lambda k: fields.get(k, [None])[0]
@@ -168,5 +181,10 @@ def round_trip(pages: DataFrame) -> DataFrame:
     c = assemble(stored(read_archives(spark, path, payloads=False), "records"))  # the joins read the records several times
     page = F.col("metadata.fields")["pageId"].try_cast("long")
     rows = c.select(page.alias("page_id"), F.coalesce("response.payload_bytes", F.col("metadata.fields")["payloadBytes"].try_cast("long")).alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.type").alias("record_type"), F.col("response.refers_to").alias("_refers"), "record_id")
-    targets = rows.filter("record_type = 'response'").groupBy(F.col("record_id").alias("_refers")).agg(F.max("page_id").alias("refers_to"))
-    return rows.join(targets, "_refers", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", F.when(F.col("record_type") == "revisit", F.col("refers_to")).alias("refers_to"))
+    # Only revisits refer to a record; responses would all meet at a null key.
+    plain = rows.filter("record_type = 'response'")
+    targets = plain.groupBy(F.col("record_id").alias("_refers")).agg(F.max("page_id").alias("refers_to"))
+    again = rows.filter("record_type = 'revisit' and _refers is not null").join(targets, "_refers", "left")
+    lost = rows.filter("record_type = 'revisit' and _refers is null").unionByName(plain).withColumn("refers_to", F.lit(None).cast("long"))
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return again.select(columns).unionByName(lost.select(columns))
