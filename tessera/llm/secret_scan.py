@@ -39,12 +39,19 @@ BACK_OFF = 16
 MOST_FALSE, MOST_MISSED = 0.01, 0.05
 BINS = 100  # of a unit of score, for the cutoff
 MASK = "[SECRET]"
+BLOCK = 256
 
 _SPAN = "array<struct<start:bigint,k:int,end:bigint,kind:string,value:string>>"
 
 
+def _let(x: Column, f) -> Column:
+    """f of x, with x computed once."""
+    return F.transform(F.array(x), f)[0]
+
+
 def _spans(text: Column, pattern: str, kind: str, value: Column | None = None) -> Column:
-    """All leftmost non-overlapping matches with their places: the texts between matches and the matches alternate."""
+    """All leftmost non-overlapping matches with their places: the texts between matches and the matches alternate. Places are summed
+    up within blocks of BLOCK matches, then over the blocks, so that many matches don't copy a long list each."""
     found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     values = found if value is None else value
     pieces = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), found.alias("hit"), values.alias("value"))
@@ -52,7 +59,10 @@ def _spans(text: Column, pattern: str, kind: str, value: Column | None = None) -
     one = lambda a, x: F.array(F.struct(start(a, x).alias("start"), F.lit(KINDS.index(kind)).alias("k"), (start(a, x) + F.length(x["hit"])).alias("end"), F.lit(kind).alias("kind"), x["value"].alias("value")))
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPAN).alias("spans"))
     step = lambda a, x: F.struct((start(a, x) + F.length(x["hit"])).alias("at"), F.concat(a["spans"], one(a, x)).alias("spans"))
-    return F.aggregate(pieces, zero, step, lambda a: a["spans"])
+    blocks = _let(pieces, lambda p: F.transform(F.sequence(F.lit(0), F.size(p), F.lit(BLOCK)), lambda i: F.aggregate(F.slice(p, i + 1, F.lit(BLOCK)), zero, step)))
+    moved = lambda a, b: F.transform(b["spans"], lambda x: F.struct((a["at"] + x["start"]).alias("start"), x["k"].alias("k"), (a["at"] + x["end"]).alias("end"), x["kind"].alias("kind"), x["value"].alias("value")))
+    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{_SPAN}>").alias("all"))
+    return F.aggregate(blocks, begin, lambda a, b: F.struct((a["at"] + b["at"]).alias("at"), F.concat(a["all"], F.array(moved(a, b))).alias("all")), lambda a: F.flatten(a["all"]))
 
 
 def _if(condition: Column, spans: Column) -> Column:
@@ -77,7 +87,7 @@ def with_base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
 
 def _pairs(runs: DataFrame) -> DataFrame:
     """(random, held, pair) rows, a pair of adjacent characters each."""
-    pairs = F.transform(F.sequence(F.lit(1), F.length("run") - 1), lambda i: F.substr("run", i, F.lit(2)))
+    pairs = _let(F.split("run", ""), lambda c: F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), lambda a, b: F.concat(a, b)))
     return runs.filter(F.length("run") >= 2).select("random", "held", F.explode(pairs).alias("pair"))
 
 
@@ -140,29 +150,28 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
 
 
 def score(run: Column, ratios: list[float]) -> Column:
-    """Mean log-likelihood ratio of a run's character pairs. The table is one folded constant of N * N numbers."""
+    """Mean log-likelihood ratio of a run's character pairs, in one walk over its characters. The table is one folded constant of N * N numbers."""
     table = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<double>")
-    place = lambda i: F.instr(F.lit(ALPHABET), F.substr(run, i, F.lit(1))) - 1
-    pairs = F.sequence(F.lit(1), F.length(run) - 1)
-    return F.aggregate(pairs, F.lit(0.0), lambda a, i: a + F.coalesce(F.get(table, place(i) * N + place(i + 1)), F.lit(0.0))) / (F.length(run) - 1)
+    codes = F.transform(F.split(run, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
+    pairs = _let(codes, lambda c: F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), lambda a, b: F.coalesce(F.get(table, a * N + b), F.lit(0.0))))
+    return F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x) / (F.length(run) - 1)
 
 
 def _without(text: Column, spans: Column) -> Column:
     """The text with blanks in place of the spans, so that all other places stay."""
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
     kept = lambda a, s: F.substr(text, (a["at"] + 1).cast("int"), F.greatest(s["start"] - a["at"], F.lit(0)).cast("int"))
     blank = lambda a, s: F.rpad(F.lit(""), F.greatest(s["end"] - F.greatest(s["start"], a["at"]), F.lit(0)).cast("int"), F.lit(" "))
-    step = lambda a, s: F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], kept(a, s), blank(a, s)).alias("out"))
-    return F.aggregate(spans, zero, step, lambda a: F.concat(a["out"], F.substr(text, (a["at"] + 1).cast("int"), F.length(text))))
+    step = lambda a, s: F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], F.array(kept(a, s), blank(a, s))).alias("out"))
+    return F.aggregate(spans, zero, step, lambda a: F.array_join(F.concat(a["out"], F.array(F.substr(text, (a["at"] + 1).cast("int"), F.length(text)))), ""))
 
 
 def _windows(r: Column, ratios: list[float], threshold: float) -> Column:
     """Spans of the run r's joined windows of MIN_RUN characters above the threshold, widened to delimiters."""
     table, value, n = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<double>"), r["value"], MIN_RUN - 1
-    let = lambda x, f: F.transform(F.array(x), f)[0]
     codes = F.transform(F.split(value, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
-    pairs = let(codes, lambda c: F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), lambda a, b: F.coalesce(F.get(table, a * N + b), F.lit(0.0))))
-    moves = let(pairs, lambda p: F.zip_with(p, F.concat(F.array_repeat(F.lit(0.0), n), F.slice(p, F.lit(1), F.size(p) - n)), lambda a, b: F.struct(a.alias("to"), b.alias("off"))))
+    pairs = _let(codes, lambda c: F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), lambda a, b: F.coalesce(F.get(table, a * N + b), F.lit(0.0))))
+    moves = _let(pairs, lambda p: F.zip_with(p, F.concat(F.array_repeat(F.lit(0.0), n), F.slice(p, F.lit(1), F.size(p) - n)), lambda a, b: F.struct(a.alias("to"), b.alias("off"))))
     none = F.array().cast("array<struct<a:int,b:int>>")
     zero = F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("sum"), F.lit(-1).alias("a"), F.lit(-1).alias("b"), none.alias("done"))
 
@@ -212,9 +221,9 @@ def masked(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of docs, every secret in the text replaced by MASK; overlapping spans are replaced as one. Other columns stay."""
     columns = docs.columns
     found = with_spans(docs, train(docs), keep=tuple(columns))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
     kept = lambda a, s: F.substr("_text", (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int"))
-    step = lambda a, s: F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], F.concat(a["out"], kept(a, s), F.lit(MASK))).otherwise(a["out"]).alias("out"))
-    clean = F.aggregate("_all", zero, step, lambda a: F.concat(a["out"], F.substr("_text", (a["at"] + 1).cast("int"), F.length("_text"))))
+    step = lambda a, s: F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], F.concat(a["out"], F.array(kept(a, s), F.lit(MASK)))).otherwise(a["out"]).alias("out"))
+    clean = F.aggregate("_all", zero, step, lambda a: F.array_join(F.concat(a["out"], F.array(F.substr("_text", (a["at"] + 1).cast("int"), F.length("_text")))), ""))
     text = F.when(F.size("_all") > 0, clean).otherwise(F.col("_row")[text_col])
     return found.select(*[text.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in columns])
