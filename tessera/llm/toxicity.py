@@ -2,7 +2,7 @@
 
 Words (lower case, outer punctuation off) are hashed into BUCKETS embeddings. Filters of several widths slide over a text, each
 keeps its greatest response anywhere in the text, and a logistic layer weighs them. The fit uses at most ``per_class``
-labelled rows of each class (those of smallest hash), weighted back to the classes' true shares, which are counted over all
+labelled rows of each class (those of smallest hash; of them texts of up to FIT_CHARS characters), weighted back to the classes' true shares, which are counted over all
 labelled rows; all other labelled rows (a quarter, by hash) are scored and counted by language, score bin and label, and these
 counts scale the scores (Platt) and set a threshold per language where it has enough positives, else for all languages together. Scores come from the text alone. Every row is scored, over
 its whole text, with filters folded into the embeddings, so that a word costs one table row per filter offset.
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 15, 16, (1, 2, 3), 12
 PER_CLASS, EPOCHS, MOST_EPOCHS, STEPS, BATCH = 3000, 4, 12, 800, 32
+FIT_CHARS = 20_000  # longer texts are not drawn for the fit, so its sample is bounded in bytes too; they are calibrated on and scored like all
 MIN_POSITIVES = 40
 BINS = 200  # of a unit of logit, for scale and thresholds
 OUTER = ".,;:!?\"'()[]{}*#$%&|<>«»¡¿-"
@@ -130,7 +131,7 @@ def _sample(docs: DataFrame, labels: DataFrame, per_class: int, id_col: str, tex
     for c in (0, 1):
         one = labels.filter(F.col("_y") == c).orderBy(F.xxhash64("_id", F.lit(11)), "_id").limit(per_class)
         picked = one if picked is None else picked.unionByName(one)
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.col(lang_col).alias("_lang")).join(F.broadcast(picked), "_id")
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.col(lang_col).alias("_lang")).join(F.broadcast(picked), "_id").filter(F.length("_text") <= FIT_CHARS)
 
     def hashed(batches: Iterator) -> Iterator:
         import pyarrow as pa
