@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import quality
 from .common import table
 
 
 def op1_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from . import quality
-
     return quality.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", *quality.OUT, "kept")
 
 
@@ -87,4 +86,45 @@ QUERIES = {
         op10_stable_projections,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+
+
+_WORDS = "list_filter(regexp_split_to_array({0}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+
+def _quality_sql(false_rejection: float = 0.02, delta: float = 0.05) -> str:
+    """op1: the counts, the holdout's first rejecting setting by document, exact binomial tails, the last proven setting."""
+    rules, rungs, level = list(quality.LADDERS), len(quality.LADDERS["symbols"]), delta / (len(quality.STRATA) + 1)
+    ladder = {r: str([float(c) for c in v]) for r, v in quality.LADDERS.items()}
+    first = ", ".join(f"CASE WHEN len(list_filter({ladder[r]}, lambda c: r_{r} > c)) > 0 THEN ({rungs} - len(list_filter({ladder[r]}, lambda c: r_{r} > c))) * {len(rules)} + {i} END" for i, r in enumerate(rules))
+    broken = " OR ".join(f"coalesce(r_{r} > {ladder[r]}[floor((last - {i}) / {len(rules)})::INT + 1], false)" for i, r in enumerate(rules))
+    strata = ", ".join(f"'{x}'" for x in quality.STRATA)
+    return f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, CASE WHEN lang IN ({strata}) THEN lang ELSE '{quality.POOLED}' END AS stratum FROM documents),
+w AS (SELECT *, {_WORDS.format('t')} AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+i AS (SELECT rid, unnest(range(1, len(w) - 1)) AS i, w FROM w WHERE len(w) > 2), k AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS k FROM i),
+g AS (SELECT rid, unnest(list(i)) AS i FROM k GROUP BY rid, k HAVING count(*) > 1), o AS (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM g), n AS (SELECT rid, count(DISTINCT p) AS n FROM o GROUP BY rid),
+c AS (SELECT rid, doc_id, t, stratum, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+(len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, len(lines) AS n_lines FROM w LEFT JOIN n USING (rid)),
+f AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEATED} * n_words AS base_failed, coalesce(n_symbols / nullif(word_chars, 0)::DOUBLE, 0) AS r_symbols,
+coalesce(n_dup_lines / nullif(n_lines, 0)::DOUBLE, 0) AS r_dup_lines, coalesce(n_repeat_words / nullif(n_words, 0)::DOUBLE, 0) AS r_repeats, coalesce(word_chars / nullif(n_words, 0)::DOUBLE, 0) AS r_word_length FROM c),
+l AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id HAVING max(quality) = 1),
+h AS (SELECT DISTINCT stratum, t, coalesce(least({first}), {len(rules) * rungs}) AS s FROM f SEMI JOIN l USING (doc_id) WHERE NOT base_failed),
+a AS (SELECT stratum, count(*) AS total FROM h GROUP BY 1), b AS (SELECT stratum, total, unnest(range(0, {len(rules) * rungs})) AS s FROM a),
+e AS (SELECT b.stratum, b.total, b.s, (SELECT count(*) FROM h WHERE h.stratum = b.stratum AND h.s <= b.s) AS k FROM b),
+p AS (SELECT stratum, s, CASE WHEN k >= total * {false_rejection}::DOUBLE THEN 1.0::DOUBLE ELSE list_sum(list_transform(range(0, k + 1), lambda x: exp(lgamma(total + 1) - lgamma(x + 1) - lgamma(total - x + 1) + x * ln({false_rejection}::DOUBLE) + (total - x) * ln(1 - {false_rejection}::DOUBLE)))) END AS p FROM e),
+m AS (SELECT stratum, s, max(p) OVER (PARTITION BY stratum ORDER BY s) AS worst FROM p), z AS (SELECT stratum, max(s) AS last FROM m WHERE worst <= {level}::DOUBLE GROUP BY 1)
+SELECT doc_id, {", ".join(quality.OUT)}, NOT base_failed AND NOT ({broken}) AS kept FROM f LEFT JOIN z USING (stratum)"""
+
+
+#: SQL has no iteration to a tolerance, no training and no tokenizer, so the other queries are tested against brute force.
+ORACLE_SQL = {
+    "op1_risk_controlled_rules": _quality_sql(),
+    "op2_warc_transactions": """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), d AS (SELECT page_id, h, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS last FROM p)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(x, (i // 4 * 5 + 1)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1)::INT, 1)), '') AS payload_digest,
+CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM d""",
+    "op8_grouped_prefix_join": f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS x FROM w WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), b AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS k FROM s p JOIN s q ON p.x = q.x AND p.doc_id <> q.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM b JOIN n u ON u.doc_id = a JOIN n v ON v.doc_id = b WHERE 100 * k >= 75 * (u.n + v.n - k)),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT w.doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, least(w.doc_id, min(r.b)) AS component_id FROM w LEFT JOIN n USING (doc_id) LEFT JOIN r ON r.a = w.doc_id GROUP BY w.doc_id""",
+}
