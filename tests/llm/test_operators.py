@@ -44,6 +44,36 @@ def test_quality_counts(spark):
     assert quality.keep_good(docs_of(spark, ["word%d " % i for i in range(3)] + [" ".join(f"w{i}" for i in range(60))]), labels).columns == [c.split()[0] for c in DOCS.split(", ")]
 
 
+def test_quality_cutoffs_hold(spark):
+    """Each stratum stands for one trial: uniform ratios of one rule, so a cutoff's true rejection share is known."""
+    n, trials = 500, 120
+    rows = spark.range(n * trials).select(F.col("id").alias("_id"), F.concat(F.lit("s"), F.floor(F.col("id") / n)).alias("_stratum"), F.col("id").alias("_copy"), F.lit(False).alias("base_failed"), F.rand(11).alias("u"))
+    none = F.lit(0.0)
+    feats = quality.stored(rows.select("_id", "_stratum", "_copy", "base_failed", (F.when(F.col("u") < 0.1, F.col("u") * 6)).otherwise(0.0).alias("_r_symbols"), none.alias("_r_dup_lines"), none.alias("_r_repeats"), none.alias("_r_word_length")), "trials")
+    labels = spark.range(n * trials).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    cuts = {r._stratum: r._c_symbols for r in quality.cutoffs(feats, labels).collect()}
+    # u is below 0.1 in one row of ten, where the ratio is uniform up to 0.6: a cutoff c rejects (0.6 - c) / 6 of the documents.
+    shares = [(0.6 - c) / 6 for c in cuts.values() if c is not None]
+    assert len(cuts) > 0.9 * trials and max(shares) > 0.005 and sum(x > 0.02 for x in shares) <= 0.05 * trials
+    few = feats.filter("_id < 200")
+    assert quality.cutoffs(few, labels).count() == 0  # 200 labels can't prove 2 % at this level
+
+
+def test_quality_sql(spark):
+    import duckdb
+
+    from tessera.llm import queries
+
+    d = "/root/testdata/sf0.1"
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
+    sql = queries.ORACLE_SQL["op1_risk_controlled_rules"]
+    want = sorted(con.sql(f"SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM ({sql})").fetchall())
+    got = sorted(map(tuple, queries.op1_risk_controlled_rules(spark, d).collect()))
+    assert got == want and any(not r[6] and not r[7] for r in got)
+
+
 def test_binomial_tail(spark):
     cases = [(0, 1500), (3, 1500), (9, 5000), (150, 40000), (20, 1500)]
     rows = spark.createDataFrame(cases, "k int, n int")
@@ -103,6 +133,18 @@ def test_markov_inside_runs(spark):
     assert not got[2] and len(got[3]) == 2 and one in got[3][0] and two in got[3][1]
 
 
+def test_markov_in_long_runs(spark):
+    import time
+
+    rnd = random.Random(5)
+    key = lambda n: "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    model = secret_scan.train(docs_of(spark, [f"token={key(30)}" for _ in range(300)] + ["the_quick_brown_foxes/overlazydogs"] * 300))
+    began = time.time()
+    texts = [key(300_000), "é " + "/".join(["overlazydogs"] * 30_000) + " " + key(40), " ".join(["the_quick_brown_foxes"] * 20_000)]
+    got = {r._id: r.spans for r in secret_scan.with_spans(docs_of(spark, texts), model).select("_id", secret_scan.listed(F.col("_all")).alias("spans")).collect()}
+    assert got[0] == "markov:0:300000" and got[1] == f"markov:{len(texts[1]) - 40}:{len(texts[1])}" and not got[2] and time.time() - began < 60
+
+
 def test_bpe(spark):
     import public_tokenizers as P
     import tiktoken
@@ -211,7 +253,42 @@ def test_packing(spark):
     assert got.groupby("doc_id").n_tokens.sum().to_dict() == {i + 2: n for i, n in enumerate(sizes)}
     assert (bins.used <= bins.capacity).all() and all(c == min(x for x in packing.CAPACITIES if x >= u) for u, c in bins.itertuples(index=False))
     assert packing.best_fit(docs_of(spark, [])).count() == 0
-    assert packing.pack([5, 4, 3, 3, 1], (8, 16))[0][0] == 0
+    big = spark.createDataFrame([(None, "a b"), (9007199254740993, "a")], "doc_id bigint, text string")
+    assert {r.doc_id for r in packing.best_fit(big).collect()} == {None, 9007199254740993}
+
+
+def least_cost(sizes, caps):
+    """Exhaustive: every way to deal the sizes into bins."""
+    best = [math.inf]
+
+    def go(i, bins):
+        if i == len(sizes):
+            best[0] = min(best[0], sum(packing.cost(min(c for c in caps if c >= b)) for b in bins))
+            return
+        for k in range(len(bins)):
+            if bins[k] + sizes[i] <= caps[-1]:
+                go(i + 1, [*bins[:k], bins[k] + sizes[i], *bins[k + 1 :]])
+        go(i + 1, [*bins, sizes[i]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_packing_chooses_capacities():
+    placed, opened, final = packing.pack([300, 300, 300], (512, 1024))
+    assert opened == [1024] and final == [1024] and placed == [0, 0, 0]  # three bins of 512 would cost more
+    _, opened, final = packing.pack([4056, 746, 703, 346, 232, 231])
+    assert any(a > b for a, b in zip(opened, final, strict=True))  # a bin shrinks, as a piece of its trial found a tighter place
+    rnd, own, best = random.Random(1), 0.0, 0.0
+    for _ in range(120):
+        sizes = sorted((rnd.randrange(1, 4097) if rnd.random() < 0.3 else rnd.randrange(1, 900) for _ in range(rnd.randrange(1, 7))), reverse=True)
+        cost, least = sum(map(packing.cost, packing.pack(sizes)[2])), least_cost(sizes, packing.CAPACITIES)
+        assert least <= cost <= 1.3 * least
+        own, best = own + cost, best + least
+    assert own <= 1.02 * best
+    sizes = sorted((min(4096, int(rnd.lognormvariate(5.5, 1.2)) + 1) for _ in range(2000)), reverse=True)
+    only = packing.pack(sizes, (4096,))[2]  # the one capacity that takes every piece
+    assert sum(map(packing.cost, packing.pack(sizes)[2])) < 0.9 * sum(map(packing.cost, only))
 
 
 def test_neighbours(spark):
@@ -233,6 +310,25 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_neighbours_prune_and_block(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "PER_BLOCK", 7)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(30, 32)) * 2
+    v = centres[rng.integers(0, 30, 3000)] + rng.normal(size=(3000, 32)) * 0.3
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(0, v[5].tolist()), (3000, v[0].tolist()), (3000, v[0].tolist())]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") % 50 == 0, per_shard=200).toPandas()
+    ids, every, hits = np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), 0
+    for q in range(0, 3001, 50):
+        own = got[got.query_id == q].sort_values("rank")
+        asks = min(every[ids == q].tolist())  # of unlike rows of one id the least asks
+        dist = np.sqrt(((every - asks) ** 2).sum(1))
+        dist[ids == q] = np.inf
+        want = np.lexsort((ids, dist))[:10]
+        assert own["rank"].tolist() == list(range(1, 11)) and np.all(own.score.to_numpy() >= dist[want] - 1e-9)
+        hits += int(np.isclose(own.score.to_numpy(), dist[want]).sum())
+    assert hits >= 0.9 * 610 and got.groupby("query_id").n_verified.first().mean() < 0.2 * len(rows)
+
+
 def test_warc(spark, tmp_path):
     pages = [(1, "http://a/", "<p>é</p>"), (2, "http://b/", "<p>é</p>"), (3, None, None), (4, "http://c/", ""), (5, "x", "WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"), (6, "y", "one")]
     df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
@@ -250,6 +346,39 @@ def test_warc(spark, tmp_path):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_odd_archives(spark, tmp_path):
+    import gzip
+
+    record = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <a>\r\nContent-Length: 22\r\n\r\nHTTP/1.1 200 OK\r\n\r\nabc\r\n\r\n"
+    broken = record.replace(b": 22", b": many").replace(b"<a>", b"<b>")
+    cut = gzip.compress(record * 2000)
+    files = {"cut.gz": cut[: len(cut) // 2], "odd.warc": broken + record, "tail.warc": record + record[:-12], "none.warc": b"", "junk.gz": b"\x1f\x8bxx"}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    got = warc.read_archives(spark, str(tmp_path)).select("record_id", "payload").collect()
+    assert {(r.record_id, bytes(r.payload)) for r in got} == {("<a>", b"abc")} and len(got) > 2
+
+
+def test_url_ranks(spark):
+    """Both rankings against the dense solution in which hosts without out-links return their mass to the seeds."""
+    rnd = random.Random(4)
+    hosts = [f"h{i}" for i in range(12)]
+    edges = sorted({(a, b): rnd.randrange(1, 5) for a in hosts[:9] for b in rnd.sample(hosts, 3) if a != b}.items())
+    rows = [(a, b, n) for (a, b), n in edges]
+    seeds = [("h0", "trust", 0.5), ("h3", "trust", 0.5), ("h7", "distrust", 1.0)]
+    got = {(r.host, r.kind): r["rank"] for r in url_graph.propagate(spark.createDataFrame(rows, "src string, dst string, links bigint"), spark.createDataFrame(seeds, "host string, kind string, share double"), 1e-9).collect()}
+    for kind in ("trust", "distrust"):
+        w, s = np.zeros((12, 12)), np.array([sum(x for h, k, x in seeds if (h, k) == (y, kind)) for y in hosts])
+        for a, b, n in rows:
+            i, j = (hosts.index(a), hosts.index(b)) if kind == "trust" else (hosts.index(b), hosts.index(a))
+            w[j, i] += n
+        out = w.sum(0)
+        w = np.where(out > 0, w / np.where(out > 0, out, 1), s[:, None])
+        r = np.linalg.solve(np.eye(12) - 0.85 * w, 0.15 * s)
+        own = np.array([got.get((h, kind), 0.0) for h in hosts])
+        assert np.allclose(own / own.sum(), r, atol=1e-8)
+
+
 def test_url_filter(spark):
     cases = {
         None: ("", "", None), "": ("", "", None), "nohost": ("", "", None), "http://A.Net/x?y": ("a.net", "/x", "net/"), "http://example.net/en/1#f": ("example.net", "/en/1", "example.net/en/"),
@@ -264,3 +393,43 @@ def test_url_filter(spark):
     assert got[100].verdict == "block" and got[100].distrust > 0.5
     edges = url_graph.host_edges(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
     assert ("links.test", "evil.net", 3) in {tuple(r) for r in edges.collect()}
+
+
+def test_toxicity_keeps_clean(spark):
+    rows = [(i, f"red green blue w{i % 7}" + (" vile scum" if i % 4 == 0 else ""), "en" if i % 3 else None, f"x{i}") for i in range(1200)] + [(None, None, None, None), (5000, "", "en", "y")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, _score string")
+    kept = toxicity.keep_clean(df, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(1200)], "doc_id bigint, toxic int"))
+    assert kept.columns == df.columns
+    got = {r.doc_id for r in kept.collect()}
+    assert len({i for i in range(0, 1200, 4)} & got) <= 6 and len({i for i in range(1200) if i % 4} - got) <= 9 and None in got
+
+
+def test_pipeline(spark, tmp_path):
+    """Each stage's decision against what its operator says of its input, over nulls, copies and clashing column names; then no rows."""
+    import corpus_pipeline
+
+    rnd = random.Random(12)
+    prose = lambda n: " ".join(rnd.choice("alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()) + str(rnd.randrange(50)) for _ in range(n))
+    base = [prose(80) for _ in range(40)]
+    texts = base + base[:5] + [base[5] + " tail"] + [None, "", "short"] + [prose(60) + " token=" + "Ab9" * 8, prose(5000)]
+    rows = [(i if i != 7 else None, t, "en", "s", len(t or ""), "a", 1) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, _row string, _text int")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    at = docs
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        at = stage(spark, at, str(tmp_path))
+        assert at.columns == docs.columns, name
+        seen[name] = [(r.doc_id, r.text) for r in at.collect()]
+    long_enough = [(r[0], r[1]) for r in rows if len((r[1] or "").split()) >= 50]
+    assert sorted(seen["quality rules"], key=str) == sorted(long_enough, key=str) == sorted(seen["toxicity"], key=str)
+    unlike = {t: i for i, t in reversed(long_enough) if not t.endswith(" tail")}
+    assert sorted(t for _, t in seen["near duplicates"]) == sorted(unlike)
+    assert not any("Ab9Ab9" in t for _, t in seen["secrets"]) and len(seen["secrets"]) == len(unlike)
+    packed = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    assert packed.n_tokens.sum() == sum(len(t.split()) for _, t in seen["secrets"])
+    empty = tmp_path / "empty"
+    docs.limit(0).write.parquet(str(empty / "documents.parquet"))
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(str(empty / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
