@@ -1,4 +1,10 @@
-"""A corpus pipeline over documents: quality rules, toxicity, near duplicates, secrets, packing."""
+"""A corpus pipeline over documents: quality rules, toxicity, near duplicates, secrets, packing.
+
+Nulls and edges: every row is judged by itself, whether its doc_id is null or repeated. A null text counts as empty and fails the quality rules;
+an unknown language is judged by the pooled rules and thresholds; without labels no cutoff is proven and no row is toxic. Copies and near copies
+leave one row, that of the least doc_id (nulls last). Very long texts are judged whole and packed in pieces. An empty table gives an empty result,
+and columns of documents pass through whatever their names.
+"""
 
 from __future__ import annotations
 
