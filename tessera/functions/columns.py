@@ -23,14 +23,20 @@ def cyclic(x: Column, period: float, phase: float = 0.0, wave=F.cos) -> Column:
     return wave(2 * F.pi() * (x + phase) / period)
 
 
+def bound(x: Column, f) -> Column:
+    """f of x, with x computed once, however often f names it."""
+    return F.transform(F.array(x), f)[0]
+
+
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, STRIP, "")
+    """Without white space at either end. The pattern, which knows every kind of it, runs only where a character beyond ASCII or a control
+    character is left at an end."""
+    return bound(F.trim(text), lambda t: F.when(t.rlike(r"^[\x00-\x1f\x7f-\x{10ffff}]|[\x00-\x1f\x7f-\x{10ffff}]$"), F.regexp_replace(t, STRIP, "")).otherwise(t))
 
 
 def lines(text: Column) -> Column:
     """Lines of a text; none for an empty one, and no empty piece behind a final line end."""
-    cut = F.split(text, r"\r\n|\r|\n")
-    return F.when(F.length(text) == 0, F.array().cast("array<string>")).otherwise(F.when(F.element_at(cut, -1) == "", F.slice(cut, F.lit(1), F.size(cut) - 1)).otherwise(cut))
+    return bound(F.split(text, r"\r\n|\r|\n"), lambda cut: F.when(F.element_at(cut, -1) == "", F.slice(cut, F.lit(1), F.size(cut) - 1)).otherwise(cut))
 
 
 def long_lines(text: Column, least: int = 10) -> Column:
@@ -125,10 +131,27 @@ def top_peaks(values: Column, most: int, apart: int) -> Column:
 
 
 def softmax(z: Column) -> Column:
-    e = F.transform(z, lambda x: F.exp(x.cast("double") - F.array_max(z).cast("double")))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
+    top = lambda z: bound(F.array_max(z).cast("double"), lambda m: F.transform(z, lambda x: F.exp(x.cast("double") - m)))
+    share = lambda e: bound(F.aggregate(e, F.lit(0.0), lambda s, y: s + y), lambda t: F.transform(e, lambda x: x / t))
+    return bound(bound(z, top), share)
 
 
 def log_sum_exp(z: Column) -> Column:
-    top = F.array_max(z).cast("double")
-    return top + F.ln(F.aggregate(z, F.lit(0.0), lambda s, x: s + F.exp(x.cast("double") - top)))
+    return bound(F.array_max(z).cast("double"), lambda top: top + F.ln(F.aggregate(z, F.lit(0.0), lambda s, x: s + F.exp(x.cast("double") - top))))
+
+
+def row_bounds(centres: Column, height: Column) -> Column:
+    """Structs (y0, y1) of the rows around ascending centres: midpoints between them, 0.7 of a step beyond the outer two, within the height."""
+    at, last = lambda i: F.get(centres, i).cast("double"), F.size(centres) - 1
+    low = lambda i: F.when(i == 0, F.greatest(F.lit(0.0), at(i) - 0.7 * (at(i + 1) - at(i)))).otherwise((at(i - 1) + at(i)) / 2)
+    high = lambda i: F.when(i == last, F.least(height.cast("double"), at(i) + 0.7 * (at(i) - at(i - 1)))).otherwise((at(i) + at(i + 1)) / 2)
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(low(i).cast("int").alias("y0"), high(i).cast("int").alias("y1")))
+
+
+def px_per_mm(short_widths: Column, long_width: Column, short_mm: float = 62.5) -> Column:
+    """Pixels a millimetre: the median width of the short leads, else a quarter of the long one's, else 250 pixels, over their millimetres."""
+    wide = F.sort_array(F.transform(short_widths, lambda w: F.greatest(w, F.lit(1)).cast("double")))
+    n = F.size(short_widths)
+    median = bound(wide, lambda w: (F.get(w, F.floor((n - 1) / 2).cast("int")) + F.get(w, F.floor(n / 2).cast("int"))) / 2)
+    width = F.when(n > 0, median).otherwise(F.coalesce(F.when(long_width.isNotNull(), F.greatest(long_width / 4.0, F.lit(1.0))), F.lit(250.0)))
+    return F.greatest(width / short_mm, F.lit(1e-3))

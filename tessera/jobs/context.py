@@ -113,11 +113,7 @@ def cr_bm25_norm_max(spark, d):
 @query(f"""WITH {_BM25}, p AS (SELECT q, list_sort(list(score)) AS l FROM s GROUP BY q), m AS (SELECT q, l[greatest(trunc(len(l) * 0.95::DOUBLE)::BIGINT - 1, 0) + 1] AS p95 FROM p)
 SELECT q, f, round(least(score / CASE WHEN p95 = 0 THEN 1.0 ELSE p95 END, 1.0), 6) AS norm FROM s JOIN m USING (q)""")
 def cr_bm25_norm_p95(spark, d):
-    s = _bm25(spark, d)
-    n = s.groupBy("q").agg(F.count("*").alias("n"))
-    ranked = s.withColumn("i", F.row_number().over(Window.partitionBy("q").orderBy("score")))
-    at = ranked.join(n, "q").filter(F.col("i") == F.greatest(F.floor(F.col("n") * F.lit(0.95)) - 1, F.lit(0)) + 1).select("q", F.when(F.col("score") == 0, 1.0).otherwise(F.col("score")).alias("p95"))
-    return s.join(at, "q").select("q", "f", F.round(F.least(F.col("score") / F.col("p95"), F.lit(1.0)), 6).alias("norm"))
+    return retrieval.over_p95(_bm25(spark, d)).select("q", "f", F.round("norm", 6).alias("norm"))
 
 
 @query(f"WITH {_BM25} SELECT q, arg_max(f, (round(score, 6), -f)) AS f FROM s GROUP BY q")
@@ -170,7 +166,11 @@ def cr_greedy_budget(spark, d):
     return listed.select("conv_id", fill.alias("g")).select("conv_id", F.col("g.used").alias("used"), F.size("g.taken").cast("long").alias("n_taken"))
 
 
-@query()
+@query(f"""WITH RECURSIVE c AS (SELECT conv_id, turn, list_distinct(list_filter(list_transform({_LINES}, lambda x: {_TRIM.format('x')}), lambda x: length(x) >= 1)) AS s, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations),
+g(conv_id, i, turn, kept, took) AS (SELECT DISTINCT conv_id, 0::BIGINT, 0::BIGINT, []::VARCHAR[][], false FROM c UNION ALL
+SELECT conv_id, i, turn, CASE WHEN ok THEN list_append(kept, s) ELSE kept END, ok FROM (SELECT g.conv_id, c.i, c.turn, kept, s,
+len(list_filter(kept, lambda k: coalesce(len(list_intersect(k, s)) / nullif(len(k) + len(s) - len(list_intersect(k, s)), 0)::DOUBLE, 0) >= 0.6)) = 0 AS ok FROM g JOIN c ON c.conv_id = g.conv_id AND c.i = g.i + 1))
+SELECT conv_id, turn FROM g WHERE took""")
 def cr_greedy_dedup(spark, d):
     """Turns of each conversation that are no near copy of one kept before."""
     listed = table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", C.long_lines(F.col("text"), 1).alias("s")))).alias("x"))
@@ -190,10 +190,71 @@ def rs_recent_first(spark, d):
     return table(spark, d, "documents").select("doc_id", "lang").join(l, "doc_id", "left").groupBy("lang").agg(F.coalesce(F.min(F.when(F.col("recent"), F.col("doc_id"))), F.min("doc_id")).alias("doc_id"))
 
 
+def _repositories(spark, d):
+    """Points (the first document of every language), files, recents and imports: a language is a repository, a source a folder."""
+    docs = table(spark, d, "documents").select(F.col("lang").alias("repo"), F.col("doc_id").alias("f"), F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), "text")
+    points = docs.groupBy("repo").agg(F.min("f").alias("q")).join(docs.select(F.col("f").alias("q"), "path", "text"), "q")
+    own = points.select("q", "repo").join(docs.select("repo", "f", "path"), "repo")
+    recents = own.join(table(spark, d, "labels").filter("quality = 1").select(F.col("doc_id").alias("f")), "f", "left_semi").select("q", "f")
+    return points, docs, recents, own.filter("f % 97 = 5").select("q", "path")
+
+
+_SIGNALS = f"""d AS (SELECT lang AS repo, doc_id AS f, source || '/' || doc_id || '.txt' AS path, source AS folder, text, list_distinct(list_filter(list_transform({_LINES}, lambda x: {_TRIM.format('x')}), lambda x: length(x) >= 10)) AS l FROM documents),
+p AS (SELECT repo, f AS q, path AS own, folder AS home, text, l AS pl FROM d WHERE f IN (SELECT min(f) FROM d GROUP BY repo)),
+t AS (SELECT repo, f, unnest({_TOKENS}) AS term FROM d), tf AS (SELECT repo, f, term, count(*) AS tf FROM t GROUP BY ALL), len AS (SELECT repo, f, len({_TOKENS}) AS len FROM d),
+st AS (SELECT repo, count(*) AS n, avg(len) AS mean FROM len GROUP BY 1), df AS (SELECT repo, term, ln((n - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM tf JOIN st USING (repo) GROUP BY repo, term, n),
+fl AS (SELECT repo, avg(idf) * 0.25::DOUBLE AS floor FROM df GROUP BY 1), idf AS (SELECT repo, term, CASE WHEN idf < 0 THEN floor ELSE idf END AS idf FROM df JOIN fl USING (repo)),
+a AS (SELECT repo, q, unnest({_TOKENS}) AS term FROM p), qt AS (SELECT repo, q, term, count(*) AS times FROM a GROUP BY ALL),
+b AS (SELECT q, f, sum(times * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean))) AS score FROM qt JOIN idf USING (repo, term) JOIN tf USING (repo, term) JOIN len USING (repo, f) JOIN st USING (repo) GROUP BY ALL),
+g AS (SELECT q, d.f, path, len(list_intersect(pl, l)) AS k, len(pl) + len(l) AS u, CASE WHEN home = folder THEN 2 ELSE 4 END AS dist, d.f % 97 = 5 AS is_import, d.f IN (SELECT doc_id FROM labels WHERE quality = 1) AS is_recent, folder, p.repo FROM p JOIN d ON p.repo = d.repo AND own <> path),
+r AS (SELECT repo, list(DISTINCT folder) AS folders FROM d WHERE f % 97 = 5 GROUP BY 1),
+h AS (SELECT q, g.f, path, coalesce(k / nullif(u - k, 0)::DOUBLE, 0) AS iou, dist, CASE WHEN is_import THEN 0 WHEN folders IS NULL THEN 2 WHEN list_contains(folders, folder) THEN 2 ELSE 4 END AS ref_dist, is_import, is_recent, coalesce(score, 0) AS score FROM g LEFT JOIN r USING (repo) LEFT JOIN b USING (q, f)),
+o AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score) AS i, count(*) OVER (PARTITION BY q) AS n FROM h), w AS (SELECT q, max(CASE WHEN i = greatest(trunc(n * 0.95::DOUBLE)::BIGINT - 1, 0) + 1 THEN score END) AS p95, max(score) AS top FROM o GROUP BY q),
+s AS (SELECT h.*, coalesce(score / nullif(top, 0), 0) AS bm25, least(score / CASE WHEN p95 = 0 THEN 1.0 ELSE p95 END, 1.0) AS bm25_p95, 1 / (dist + 1.0::DOUBLE) AS near, 1 / (ref_dist + 1.0::DOUBLE) AS ref FROM h JOIN w USING (q))"""
+
+_MM = "coalesce(({0} - min({0}) OVER (PARTITION BY q)) / nullif(max({0}) OVER (PARTITION BY q) - min({0}) OVER (PARTITION BY q), 0)::DOUBLE, 0)"
+_SCORES = {
+    "final": "CASE WHEN is_recent OR is_import THEN 1.0 ELSE iou * near END",
+    "tiers": "CASE WHEN is_import THEN 3.0 WHEN is_recent THEN 2.0 ELSE iou * ref END",
+    "fused": f"CASE WHEN is_import THEN 2.0 ELSE 0.4 * {_MM.format('(-ref_dist)')} + 0.4 * {_MM.format('iou')} + 0.2 * {_MM.format('is_recent::INT')} END",
+    "lines": "iou + CASE WHEN is_import THEN 0.3 WHEN is_recent THEN 0.1 ELSE 0 END",
+    "distance": "iou / 2 - CASE WHEN is_import THEN 0 WHEN is_recent THEN least(ref_dist, 1) ELSE ref_dist END",
+    "bm25": "CASE WHEN is_recent THEN 3.0 + 0.5 * bm25 WHEN is_import THEN 2.0 ELSE bm25 * ref END",
+    "boosted": "bm25_p95 * ref * CASE WHEN is_recent THEN 2.0 WHEN is_import THEN 1.5 ELSE 1.0 END",
+}
+
+
+def _scored(strategy):
+    """Registers the score of every point and file of its repository under a strategy."""
+
+    def run(spark, d):
+        scored = retrieval.file_scores(retrieval.file_signals(*_repositories(spark, d)), strategy)
+        return scored.select("q", "f", (F.round("score", 6) + 0.0).alias("score"))
+
+    run.__name__ = f"rs_score_{strategy}"
+    return query(f"WITH {_SIGNALS} SELECT q, f, round(({_SCORES[strategy]})::DOUBLE, 6) + 0.0 AS score FROM s")(run)
+
+
+for _name in _SCORES:
+    _scored(_name)
+
+
+@query(rf"""WITH RECURSIVE {_SIGNALS}, z AS (SELECT q, f, path, row_number() OVER (PARTITION BY q ORDER BY {_SCORES['distance']} DESC, path) AS rank FROM s QUALIFY rank <= 5),
+y AS (SELECT q, path, text, row_number() OVER (PARTITION BY q ORDER BY rank DESC) AS i FROM z JOIN (SELECT f, text FROM d) USING (f)),
+c(q, i, used, n, context) AS (SELECT DISTINCT q, 0::BIGINT, 0::BIGINT, 0::BIGINT, '' FROM y UNION ALL
+SELECT q, i, used + coalesce(floor(len(list_filter(regexp_split_to_array({_TRIM.format('x')}, '\s+'), lambda w: w <> '')) * 1.3::DOUBLE)::BIGINT, 0), n + (x IS NOT NULL)::INT, context || coalesce('<|file_sep|>' || path || chr(10) || x, '') FROM (
+SELECT c.q, y.i, used, n, context, path, CASE WHEN used + floor(len(list_filter(regexp_split_to_array({_TRIM.format('text')}, '\s+'), lambda w: w <> '')) * 1.3::DOUBLE)::BIGINT <= 500 THEN text WHEN (500 - used) * 4 > 200 THEN substr(text, 1, ((500 - used) * 4)::INT) END AS x FROM c JOIN y ON y.q = c.q AND y.i = c.i + 1))
+SELECT q, n AS n_files, used, md5(context) AS digest FROM c QUALIFY i = max(i) OVER (PARTITION BY q)""")
+def rs_distance_whole_files(spark, d):
+    """The nearest files whole, within a budget that cuts one of them."""
+    points, files, recents, imports = _repositories(spark, d)
+    scored = retrieval.file_scores(retrieval.file_signals(points, files, recents, imports), "distance")
+    return retrieval.whole_files(scored, files, budget=500).select("q", "n_files", "used", F.md5("context").alias("digest"))
+
+
 @query()
 def rs_best_final(spark, d):
-    """The whole retrieval strategy: the first document of every repository and source is the completion point."""
-    docs = table(spark, d, "documents").select(F.concat_ws("/", "lang", "source").alias("repo"), F.col("doc_id").alias("f"), F.concat_ws("/", "lang", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), "text")
-    points = docs.groupBy("repo").agg(F.min("f").alias("q")).join(docs.select(F.col("f").alias("q"), "path", "text"), "q")
-    recents = points.select("q", "repo").join(docs.select("repo", "f"), "repo").join(table(spark, d, "labels").filter("quality = 1").select(F.col("doc_id").alias("f")), "f", "left_semi").select("q", "f")
-    return retrieval.best_context(points, docs, recents)
+    """The whole retrieval strategy: the first document of every repository is the completion point, its text the prefix."""
+    points, files, recents, _ = _repositories(spark, d)
+    points = points.select("q", "repo", "path", F.col("text").alias("prefix"), F.lit("").alias("suffix"))
+    return retrieval.best_context(points, files, recents, extension=".txt")

@@ -82,7 +82,9 @@ def sg_local_maxima(spark, d):
     return _signals(spark, d).select("vec_id", F.size(C.local_maxima(F.col("s"))).cast("long").alias("n_maxima"), (F.round(mid, 6) + 0.0).alias("baseline"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_S.removeprefix("WITH ")}, m AS (SELECT vec_id, unnest(list_filter(range(2, 64), lambda i: s[i] >= s[i - 1] AND s[i] > s[i + 1])) AS i, s FROM s), c AS (SELECT vec_id, i - 1 AS place, row_number() OVER (PARTITION BY vec_id ORDER BY s[i] DESC, i) AS k FROM m),
+g(vec_id, k, taken) AS (SELECT DISTINCT vec_id, 0::BIGINT, []::BIGINT[] FROM c UNION ALL SELECT g.vec_id, c.k, CASE WHEN len(taken) < 4 AND len(list_filter(taken, lambda t: abs(t - place) < 8)) = 0 THEN list_append(taken, place) ELSE taken END FROM g JOIN c ON c.vec_id = g.vec_id AND c.k = g.k + 1),
+l AS (SELECT vec_id, list_sort(taken) AS t FROM g QUALIFY k = max(k) OVER (PARTITION BY vec_id)) SELECT vec_id, unnest(range(0, len(t)))::INT AS i, unnest(t)::INT AS place FROM l""")
 def sg_greedy_peaks(spark, d):
     return _signals(spark, d).select("vec_id", F.posexplode(C.top_peaks(F.col("s"), 4, 8)).alias("i", "place"))
 
@@ -111,3 +113,15 @@ def sg_center_radial(spark, d):
     c = c.withColumn("r", F.sqrt(F.aggregate(F.transform("s", lambda x: (x - F.col("m")) * (x - F.col("m"))), F.lit(0.0), lambda a, x: a + x)))
     peak = F.try_divide(F.array_max(F.transform("s", lambda x: F.abs(x - F.col("m")))), F.col("r"))
     return c.select("vec_id", F.round(peak, 6).alias("peak"), F.round(F.log1p("r"), 6).alias("log_radius"), F.round(F.exp(-F.col("r") * F.col("r") / 2), 6).alias("gauss"))
+
+
+@query("""WITH c AS (SELECT user_id, min(event_id) % 40 AS a, count(*) AS n FROM events GROUP BY 1), r AS (SELECT user_id, n, [100 + a, 200 + 2 * a, 300 + a, 420 - a] AS c, 480 + a AS h, [200 + a, 260, 240 - a] AS w FROM c)
+SELECT user_id, greatest(0, trunc(c[1] - 0.7::DOUBLE * (c[2] - c[1])))::BIGINT AS top, trunc((c[2] + c[3]) / 2)::BIGINT AS mid, least(h, trunc(c[4] + 0.7::DOUBLE * (c[4] - c[3])))::BIGINT AS bottom, round(list_sort(w)[2] / 62.5::DOUBLE, 6) AS px_per_mm FROM r""")
+def sg_row_layout(spark, d):
+    """Row bounds and scale of a page whose row centres and lead widths vary by user."""
+    c = table(spark, d, "events").groupBy("user_id").agg((F.min("event_id") % 40).alias("a"))
+    a = F.col("a")
+    r = c.select("user_id", F.array(100 + a, 200 + 2 * a, 300 + a, 420 - a).alias("c"), (480 + a).alias("h"), F.array(200 + a, F.lit(260).cast("long"), 240 - a).alias("w"))
+    r = r.withColumn("b", C.row_bounds(F.col("c"), F.col("h")))
+    at = lambda i, y: F.get("b", F.lit(i))[y].cast("long")
+    return r.select("user_id", at(0, "y0").alias("top"), at(1, "y1").alias("mid"), at(3, "y1").alias("bottom"), F.round(C.px_per_mm(F.col("w"), F.lit(None).cast("double")), 6).alias("px_per_mm"))

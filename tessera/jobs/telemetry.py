@@ -7,16 +7,36 @@ from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
 from tessera.jobs.registry import query, table
-from tessera.operators import rollup
+from tessera.operators import forecast, rollup
 
 
 @query("""SELECT user_id, event_type, date_trunc('hour', ts)::TIMESTAMP AS hour, round(avg(value), 6) AS mean_value, min(value) AS min_value,
 max(value) AS max_value, count(*) AS n, first(props ORDER BY ts, event_id) AS first_props FROM events GROUP BY ALL""")
 def ts_hourly_rollup(spark, d):
-    r = rollup.hourly(table(spark, d, "events"), "user_id", "event_type", "ts", "value", "props", ["ts", "event_id"])
+    of = {"mean": {"mean_value": "value"}, "least": {"min_value": "value"}, "greatest": {"max_value": "value"}, "first": {"first_props": "props"}}
+    r = rollup.hourly(table(spark, d, "events"), ["user_id", "event_type"], "ts", ["ts", "event_id"], **of)
     return r.withColumn("mean_value", F.round("mean_value", 6))
 
 
+@query("""SELECT l_suppkey, l_returnflag, date_trunc('hour', l_shipdate)::TIMESTAMP AS hour, count(*) AS n, round(avg(l_quantity), 6) AS quantity, round(avg(l_discount), 6) AS discount, round(avg(l_tax), 6) AS tax,
+min(l_quantity) AS quantity_min, max(l_quantity) AS quantity_max, first(l_extendedprice ORDER BY l_orderkey, l_linenumber) AS price, first(l_linestatus ORDER BY l_orderkey, l_linenumber) AS status FROM lineitem GROUP BY ALL""")
+def ts_hourly_rollup_wide(spark, d):
+    """Several measures and first values by key and hour, as the telemetry's rollup has 13 and 5."""
+    of = {"mean": {x: f"l_{x}" for x in ("quantity", "discount", "tax")}, "least": {"quantity_min": "l_quantity"}, "greatest": {"quantity_max": "l_quantity"}, "first": {"price": "l_extendedprice", "status": "l_linestatus"}}
+    r = rollup.hourly(table(spark, d, "lineitem"), ["l_suppkey", "l_returnflag"], "l_shipdate", ["l_orderkey", "l_linenumber"], **of)
+    return r.withColumns({x: F.round(x, 6) for x in ("quantity", "discount", "tax")})
+
+
+@query("""SELECT l_orderkey, l_linenumber, round(l_quantity * l_tax, 6) AS a1, CASE WHEN l_tax = 0 THEN 'inf'::DOUBLE ELSE round(l_quantity / l_tax, 3) END AS a2, round(l_quantity + l_tax, 6) AS a4, round(l_quantity * l_discount, 6) AS a5,
+round(l_extendedprice - l_discount, 4) AS b1, round(l_tax - l_quantity, 6) AS b2, round(l_extendedprice * (1 - l_discount), 4) AS b3, round(l_discount - l_quantity, 6) AS c1, round(l_extendedprice - l_tax, 4) AS c2, round(l_quantity - l_extendedprice, 4) AS c3 FROM lineitem WHERE l_quantity > 0""")
+def ts_engineered_features(spark, d):
+    """All engineered features, line items standing for readings."""
+    of = {"t3": "l_discount", "t4": "l_quantity", "t5": "l_extendedprice", "t6": "l_tax", "t8": "l_tax", "t10": "l_quantity", "t11": "l_extendedprice", "t13": "l_discount", "t1_max": "l_discount", "x3": "l_extendedprice"}
+    rows = table(spark, d, "lineitem").filter("l_quantity > 0").select("l_orderkey", "l_linenumber", *[F.col(c).alias(n) for n, c in of.items()])
+    digits = {"a1": 6, "a2": 3, "a4": 6, "a5": 6, "b1": 4, "b2": 6, "b3": 4, "c1": 6, "c2": 4, "c3": 4}
+    return rollup.engineered(rows).select("l_orderkey", "l_linenumber", *[F.round(c, n).alias(c) for c, n in digits.items()])
+
+
 @query("SELECT hour(ts)::BIGINT AS hour, round(avg(value), 6) AS mean_value FROM events GROUP BY 1")
 def ts_hour_profile(spark, d):
     return table(spark, d, "events").groupBy(F.hour("ts").cast("long").alias("hour")).agg(F.round(F.avg("value"), 6).alias("mean_value"))
@@ -63,10 +83,8 @@ def ts_ratio_features(spark, d):
 @query("""SELECT l_returnflag, round(avg(l_discount), 6) AS mean_l_discount, round(avg(l_extendedprice), 4) AS mean_l_extendedprice, round(avg(l_quantity), 6) AS mean_l_quantity,
 round(avg(l_tax), 6) AS mean_l_tax FROM lineitem GROUP BY 1""")
 def ts_regex_select_mean(spark, d):
-    import re
-
     rows = table(spark, d, "lineitem")
-    names = sorted(c for c in rows.columns if re.fullmatch(r"l_(quantity|extendedprice|discount|tax)", c))
+    names = sorted(rollup.matching(rows, r"l_(quantity|extendedprice|discount|tax)"))
     return rows.groupBy("l_returnflag").agg(*[F.round(F.avg(c), 4 if "price" in c else 6).alias(f"mean_{c}") for c in names])
 
 
@@ -108,17 +126,25 @@ def ts_adjacent_differences(spark, d):
     return table(spark, d, "events").select("user_id", "event_id", F.round(F.col("value") - F.lag("value").over(w), 6).alias("step"))
 
 
+def _forecast_rows(spark, d):
+    return rollup.calendar(table(spark, d, "events").select("event_id", "user_id", "ts", "value"), "ts").withColumn("day", F.dayofweek("ts"))
+
+
 @query()
 def ml_gbt_forecast_monthly(spark, d):
     """Gradient-boosted trees on calendar features, then the clipped monthly mean per device."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    e = table(spark, d, "events").select("user_id", "ts", "value", F.month("ts").alias("month"), F.hour("ts").alias("hour"), F.dayofweek("ts").alias("day"))
-    e = e.withColumn("month_cos", C.cyclic(F.col("month"), 12)).withColumn("hour_sin", C.cyclic(F.col("hour"), 24, 5, F.sin))
-    rows = VectorAssembler(inputCols=["month_cos", "hour_sin", "day"], outputCol="features").transform(e)
-    model = GBTRegressor(labelCol="value", maxDepth=4, maxIter=10, seed=7).fit(rows)
-    return rollup.monthly_mean(model.transform(rows).select("user_id", "ts", F.col("prediction").alias("value")), "user_id", "ts", "value")
+    rows = _forecast_rows(spark, d)
+    model = forecast.fit(rows, ["month_cos", "hour_sin", "day"], "value", rounds=10)
+    return rollup.monthly_mean(forecast.predict(model, rows).select("user_id", "ts", F.col("prediction").alias("value")), "user_id", "ts", "value")
+
+
+@query()
+def ml_gbt_holdout_mae(spark, d):
+    """The last fifth of each device's readings is held out: it ends the boosting early and gives the error."""
+    rows = _forecast_rows(spark, d)
+    split = rollup.positional_split(rows, ["user_id", "ts", "event_id"])
+    model = forecast.fit(split, ["month_cos", "hour_sin", "day"], "value", rounds=20, held_out=~F.col("in_train"))
+    return forecast.mean_error(model, split.filter("not in_train"), "value")
 
 
 @query("""SELECT event_id, row_number() OVER (ORDER BY md5(event_id::VARCHAR || '-42'), event_id) <= floor(0.85 * count(*) OVER ()) AS in_train FROM events""")

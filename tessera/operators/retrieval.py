@@ -1,74 +1,170 @@
-"""Context retrieval: line overlap, BM25, tiers and budgets. Queries and files meet only on a repository key."""
+"""Context retrieval: line overlap, BM25, file scores of several strategies, budgets. Queries and files meet only on a repository key."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
+from tessera.operators import code
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+FILE = "<|file_sep|>"
 
 
 def shared_lines(files: DataFrame, key: str = "id", text: str = "text", least: int = 10) -> DataFrame:
-    """(a, b, iou) of files that share a long line, a < b: lines are joined, so that pairs without any never arise."""
-    rows = files.select(F.col(key).alias("f"), F.explode(C.long_lines(F.col(text), least)).alias("line"))
-    sizes = rows.groupBy("f").agg(F.count("*").alias("n"))
-    shared = rows.groupBy("line").agg(F.count("*").alias("c")).filter("c > 1").select("line")
-    rows = rows.join(shared, "line", "left_semi")
-    both = rows.select("line", F.col("f").alias("a")).join(rows.select("line", F.col("f").alias("b")), "line").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("both"))
-    na, nb = sizes.select(F.col("f").alias("a"), F.col("n").alias("na")), sizes.select(F.col("f").alias("b"), F.col("n").alias("nb"))
-    return both.join(na, "a").join(nb, "b").select("a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("iou"))
+    """(a, b, iou) of files that share a long line, a < b: lines are joined, as hashes, so that pairs without any never arise."""
+    lines = files.select(F.col(key).alias("f"), F.transform(C.long_lines(F.col(text), least), lambda x: F.xxhash64(x)).alias("lines"))
+    rows = lines.select("f", F.size("lines").alias("n"), F.explode("lines").alias("line"))
+    one, two = rows.select("line", F.col("f").alias("a"), F.col("n").alias("na")), rows.select("line", F.col("f").alias("b"), F.col("n").alias("nb"))
+    both = one.join(two, "line").filter("a < b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("both"))
+    return both.select("a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("iou"))
 
 
-def bm25(queries: DataFrame, files: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
-    """(q, f, score): Okapi BM25 of query texts against files that share a term. queries (q, text), files (f, text).
+def bm25(queries: DataFrame, files: DataFrame, k1: float = K1, b: float = B, repo: str | None = None) -> DataFrame:
+    """(q, f, score): Okapi BM25 of query texts against files that share a term. queries (q, text), files (f, text); with ``repo`` both carry
+    that key, queries meet their own repository only, and frequencies and lengths are the repository's.
 
     A term in more than half of the files has a negative idf; it gets EPSILON times the mean idf instead. A query's repeated
     terms count as often. Terms and documents are reduced to counts before any join.
     """
-    terms = files.select("f", F.explode(C.tokens(F.col("text"))).alias("term")).groupBy("f", "term").agg(F.count("*").alias("tf"))
-    lengths = files.select("f", F.size(C.tokens(F.col("text"))).alias("len"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
-    df = terms.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(stats.select("n")))
-    df = df.select("term", F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    floor = df.agg((F.avg("idf") * EPSILON).alias("floor"))
-    idf = df.join(F.broadcast(floor)).select("term", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"))
-    asked = queries.select("q", F.explode(C.tokens(F.col("text"))).alias("term")).groupBy("q", "term").agg(F.count("*").alias("times"))
-    hits = asked.join(idf, "term").join(terms, "term").join(lengths, "f").join(F.broadcast(stats.select("mean")))
+    key = [repo] if repo else []
+    cut = files.select(*key, "f", C.tokens(F.col("text")).alias("t"))
+    terms = cut.select(*key, "f", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy(*key, "f", "len", "term").agg(F.count("*").alias("tf"))
+    sizes = files.groupBy(*key).agg(F.count("*").alias("n"))
+    tokens = terms.groupBy(*key).agg(F.sum("tf").alias("all"))
+    stats = sizes.join(tokens, key) if key else sizes.join(F.broadcast(tokens))
+    stats = stats.select(*key, "n", (F.col("all") / F.col("n")).alias("mean"))
+    df = terms.groupBy(*key, "term").agg(F.count("*").alias("df"))
+    df = df.join(stats, key) if key else df.join(F.broadcast(stats))
+    df = df.select(*key, "term", "mean", F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    floor = df.groupBy(*key).agg((F.avg("idf") * EPSILON).alias("floor"))
+    idf = df.join(floor, key) if key else df.join(F.broadcast(floor))
+    idf = idf.select(*key, "term", "mean", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"))
+    asked = queries.select(*key, "q", F.explode(C.tokens(F.col("text"))).alias("term")).groupBy(*key, "q", "term").agg(F.count("*").alias("times"))
+    hits = asked.join(idf, [*key, "term"]).join(terms, [*key, "term"])
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
     return hits.groupBy("q", "f").agg(F.sum(part).alias("score"))
 
 
+def over_p95(scores: DataFrame, n: Column | None = None) -> DataFrame:
+    """Adds norm: the score over the query's 95th percentile (nearest rank less one), at most 1. n: the number of a query's files, of which
+    those without a row score 0; without it, rows only count. One shuffle, by query."""
+    by_query = Window.partitionBy("q")
+    ranked = scores.withColumn("_n", F.count("*").over(by_query)).withColumn("_i", F.row_number().over(by_query.orderBy("score")))
+    total = n if n is not None else F.col("_n")
+    at = F.greatest(F.floor(total * F.lit(0.95)) - 1, F.lit(0)) + 1 - (total - F.col("_n"))
+    p95 = F.max(F.when(F.col("_i") == at, F.col("score"))).over(by_query)
+    least = F.when(F.coalesce(p95, F.lit(0.0)) == 0, 1.0).otherwise(p95)
+    return ranked.withColumn("norm", F.least(F.col("score") / least, F.lit(1.0))).drop("_n", "_i")
+
+
+def file_signals(points: DataFrame, files: DataFrame, recents: DataFrame, imports: DataFrame, least: int = 10) -> DataFrame:
+    """(q, f, path, iou, dist, ref_dist, is_import, is_recent, bm25, bm25_p95) of every point and file of its repository.
+
+    points (q, repo, path, text), files (f, repo, path, text), recents (q, f), imports (q, path). dist is the path distance to the point's
+    own file, ref_dist that to the nearest imported file, or the depth where nothing is imported. bm25 is over its greatest. Lines are cut once per
+    text and travel as hashes; texts don't.
+    """
+    hashed = lambda t: F.transform(C.long_lines(F.col(t), least), lambda x: F.xxhash64(x))
+    refs = imports.groupBy("q").agg(F.collect_set("path").alias("refs"))
+    p = points.select("q", "repo", F.col("path").alias("own"), hashed("text").alias("pl")).join(refs, "q", "left")
+    pair = p.join(files.select("f", "repo", "path", hashed("text").alias("fl")), "repo").filter("own != path")
+    both = F.size(F.array_intersect("pl", "fl"))
+    iou = F.coalesce(F.try_divide(both, F.size("pl") + F.size("fl") - both), F.lit(0.0))
+    ref_dist = F.coalesce(F.array_min(F.transform("refs", lambda r: C.path_distance(F.col("path"), r))), F.size(F.split("path", "/")))
+    pair = pair.select("q", "repo", "f", "path", iou.alias("iou"), C.path_distance(F.col("path"), F.col("own")).alias("dist"), ref_dist.alias("ref_dist"), F.coalesce(F.array_contains("refs", F.col("path")), F.lit(False)).alias("is_import"))
+    pair = pair.join(recents.select("q", "f", F.lit(True).alias("is_recent")).distinct(), ["q", "f"], "left").withColumn("is_recent", F.coalesce("is_recent", F.lit(False)))
+    scores = pair.select("q", "f").join(bm25(points, files, repo="repo"), ["q", "f"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    scores = over_p95(scores).withColumn("bm25", F.coalesce(F.try_divide("score", F.max("score").over(Window.partitionBy("q"))), F.lit(0.0)))
+    return pair.drop("repo").join(scores.select("q", "f", "bm25", F.col("norm").alias("bm25_p95")), ["q", "f"])
+
+
+def _min_max(x: Column) -> Column:
+    w = Window.partitionBy("q")
+    return F.coalesce(F.try_divide(x - F.min(x).over(w), F.max(x).over(w) - F.min(x).over(w)), F.lit(0.0))
+
+
+def file_scores(signals: DataFrame, strategy: str = "final") -> DataFrame:
+    """Adds score, higher for files that matter more:
+
+    final: 1 for recent and imported files, else line overlap over distance; tiers: 3 for imports, 2 for recents, else the same by ref_dist;
+    fused: imports 2, else 0.4 nearness + 0.4 overlap + 0.2 recency, each min-max; lines: overlap + 0.3 for imports or 0.1 for recents; distance: less
+    the distance (0 for imports, at most 1 for recents), ties by overlap; bm25: 3 + half the bm25 for recents, 2 for imports, else bm25 over
+    distance; boosted: bm25 over its 95th percentile, over distance, times 2 for recents or 1.5 for imports.
+    """
+    imported, recent, iou = F.col("is_import"), F.col("is_recent"), F.col("iou")
+    near, ref = 1 / (F.col("dist") + 1.0), 1 / (F.col("ref_dist") + 1.0)
+    by = {
+        "final": lambda: F.when(recent | imported, 1.0).otherwise(iou * near),
+        "tiers": lambda: F.when(imported, 3.0).when(recent, 2.0).otherwise(iou * ref),
+        "fused": lambda: F.when(imported, 2.0).otherwise(0.4 * _min_max(-F.col("ref_dist")) + 0.4 * _min_max(iou) + 0.2 * _min_max(recent.cast("double"))),
+        "lines": lambda: iou + F.when(imported, 0.3).when(recent, 0.1).otherwise(0.0),
+        "distance": lambda: iou / 2 - F.when(imported, 0).when(recent, F.least(F.col("ref_dist"), F.lit(1))).otherwise(F.col("ref_dist")),
+        "bm25": lambda: F.when(recent, 3.0 + 0.5 * F.col("bm25")).when(imported, 2.0).otherwise(F.col("bm25") * ref),
+        "boosted": lambda: F.col("bm25_p95") * ref * F.when(recent, 2.0).when(imported, 1.5).otherwise(1.0),
+    }
+    if strategy not in by:
+        raise ValueError(f"unknown strategy {strategy!r}; known are {', '.join(by)}")
+    return signals.withColumn("score", by[strategy]())
+
+
+def block(path: Column, content: Column) -> Column:
+    return F.concat(F.lit(FILE), path, F.lit("\n"), content)
+
+
+def whole_files(scored: DataFrame, files: DataFrame, most: int = 5, budget: int = 6000, chars: float = 4.0, worth: int = 200) -> DataFrame:
+    """(q, n_files, used, context): the best files, whole, worst first. One that exceeds the budget is cut to the characters left for it
+    (``chars`` a token), or left out where no more than ``worth`` are left."""
+    few = top(scored, "q", most, F.desc("score"), F.col("path")).join(files.select("f", "text"), "f")
+    listed = few.groupBy("q").agg(F.reverse(F.sort_array(F.collect_list(F.struct("rank", "path", "text")))).alias("x"))  # at most ``most``
+    cost = lambda t: C.token_estimates(t)["words_int"]
+    zero = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<string>").alias("parts"))
+
+    def step(a: Column, x: Column) -> Column:
+        room = F.floor((F.lit(budget) - a["used"]) * chars).cast("int")
+        fits = a["used"] + cost(x["text"]) <= budget
+        text = F.when(fits, x["text"]).when(room > worth, F.substr(x["text"], F.lit(1), room))
+        more = F.struct((a["used"] + cost(text)).cast("long").alias("used"), F.concat(a["parts"], F.array(block(x["path"], text))).alias("parts"))
+        return F.when(text.isNotNull(), more).otherwise(a)
+
+    return listed.select("q", F.aggregate("x", zero, step).alias("a")).select("q", F.size("a.parts").cast("long").alias("n_files"), "a.used", F.array_join("a.parts", "").alias("context"))
+
+
 def top(rows: DataFrame, by: str, k: int, *order) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("rank") <= k)
 
 
-def best_context(points: DataFrame, files: DataFrame, recents: DataFrame, most_files: int = 5, chunks_per_file: int = 3, size: int = 30, budget: int = 6000, tier: float = 1.0) -> DataFrame:
-    """The context of every completion point: (q, n_files, n_chunks, used, context).
+def best_context(points: DataFrame, files: DataFrame, recents: DataFrame, strategy: str = "final", most_files: int = 5, chunks_per_file: int = 3, size: int = 30, budget: int = 6000, extension: str = ".py") -> DataFrame:
+    """The context of every completion point: (q, n_files, n_chunks, used, context, prefix, suffix).
 
-    points (q, repo, path, text, emb), files (repo, f, path, text, emb per file), recents (q, f). A recent file scores the tier,
-    another its line overlap with the point over the path distance + 1. The best 3 * most_files are cut into chunks, the best
-    chunks of each enter a greedy fill of the budget, and files follow by ascending score, so that the best stand last.
+    points (q, repo, path, prefix, suffix), files (f, repo, path, text), recents (q, f). Files are scored by the strategy on the point's
+    retrieval text. The best 3 * most_files are cut into chunks; the chunks of each that share most tokens with the point's scope (a cosine of token
+    sets) enter a greedy fill of the budget, and files follow by ascending score, so that the best stand last. A point for which nothing was
+    chosen gets the nearest file of its repository, whole.
     """
-    pair = points.alias("p").join(files.alias("f"), F.col("p.repo") == F.col("f.repo")).filter("p.path != f.path")
-    pl, fl = C.long_lines(F.col("p.text")), C.long_lines(F.col("f.text"))
-    pair = pair.select("p.q", "f.f", F.col("f.path").alias("path"), F.coalesce(F.try_divide(F.size(F.array_intersect(pl, fl)), F.size(F.array_union(pl, fl))), F.lit(0.0)).alias("iou"), (1 / (C.path_distance(F.col("p.path"), F.col("f.path")) + 1.0)).alias("near"))
-    scored = pair.join(recents.select("q", "f", F.lit(True).alias("recent")), ["q", "f"], "left")
-    scored = scored.select("q", "f", "path", F.when(F.col("recent"), tier).otherwise(F.col("iou") * F.col("near")).alias("file_score"))
-    few = top(scored, "q", 3 * most_files, F.desc("file_score"), F.col("path")).drop("rank")
+    texts = code.completion_texts(points, files, extension)
+    imports = code.import_files(points, files, extension)
+    asks = points.select("q", "repo", "path").join(texts.select("q", F.concat_ws("\n", "retrieval_prefix", "retrieval_suffix").alias("text")), "q")
+    scored = file_scores(file_signals(asks, files, recents, imports), strategy).withColumnRenamed("score", "file_score")
+    few = top(scored.select("q", "f", "path", "file_score"), "q", 3 * most_files, F.desc("file_score"), F.col("path")).drop("rank")
     # Texts come back only for the files that are left.
     chunks = few.join(files.select("f", "text"), "f").select("q", "f", "path", "file_score", F.explode(C.sliding_chunks(C.lines(F.col("text")), size)).alias("c"))
-    chunks = chunks.join(points.select("q", F.col("text").alias("qt")), "q")
-    qt, ct = F.array_distinct(C.tokens(F.col("qt"))), F.array_distinct(C.tokens(F.col("c.text")))
-    similar = F.coalesce(F.size(F.array_intersect(qt, ct)) / F.sqrt(F.greatest(F.size(qt), F.lit(1)).cast("double") * F.greatest(F.size(ct), F.lit(1))), F.lit(0.0))
-    chunks = chunks.select("q", "f", "path", "file_score", F.col("c.pos").alias("pos"), F.col("c.text").alias("text"), similar.alias("sim"))
+    chunks = chunks.select("q", "f", "path", "file_score", F.col("c.pos").alias("pos"), F.col("c.text").alias("text"), F.array_distinct(C.tokens(F.col("c.text"))).alias("ct"))
+    chunks = chunks.join(texts.select("q", F.array_distinct(C.tokens(F.col("embedding_query"))).alias("qt")), "q")
+    similar = F.coalesce(F.size(F.array_intersect("qt", "ct")) / F.sqrt(F.greatest(F.size("qt"), F.lit(1)).cast("double") * F.greatest(F.size("ct"), F.lit(1))), F.lit(0.0))
+    chunks = chunks.select("q", "f", "path", "file_score", "pos", "text", similar.alias("sim"))
     best = chunks.withColumn("r", F.row_number().over(Window.partitionBy("q", "f").orderBy(F.desc("sim"), "pos"))).filter(F.col("r") <= chunks_per_file)
     cost = C.token_estimates(F.col("text"))["words_int"].cast("double")
     item = F.struct((-(F.col("sim") + F.col("file_score"))).alias("s"), F.col("path"), F.col("pos"), F.col("text"), F.col("file_score"), cost.alias("cost"))
     listed = best.groupBy("q").agg(F.sort_array(F.collect_list(item)).alias("items"))  # at most 3 * most_files * chunks_per_file items
     filled = listed.withColumn("fill", C.greedy_fill(F.transform("items", lambda x, i: F.struct(i.alias("pos"), x["path"].alias("file"), x["cost"].alias("cost"))), budget, most_files))
-    taken = F.sort_array(F.transform("fill.taken", lambda i: F.struct(F.get("items", i)["file_score"].alias("fs"), F.get("items", i)["path"].alias("path"), F.get("items", i)["pos"].alias("pos"), F.get("items", i)["text"].alias("text"))))
-    paths = F.array_distinct(F.transform(taken, lambda t: t["path"]))
-    blocks = F.transform(paths, lambda p: F.concat(F.lit("<|file_sep|>"), p, F.lit("\n"), F.array_join(F.transform(F.filter(taken, lambda t: t["path"] == p), lambda t: t["text"]), "\n...\n")))
-    return filled.select("q", F.size("fill.files").cast("long").alias("n_files"), F.size("fill.taken").cast("long").alias("n_chunks"), F.col("fill.used").alias("used"), F.array_join(blocks, "").alias("context"))
+    taken = F.sort_array(F.transform("fill.taken", lambda i: F.struct(F.get("items", i)["file_score"].alias("fs"), F.get("items", i)["path"].alias("path"), i.alias("turn"), F.get("items", i)["text"].alias("text"))))
+    filled = filled.select("q", "fill", taken.alias("taken")).withColumn("paths", F.array_distinct(F.transform("taken", lambda t: t["path"])))
+    blocks = F.transform("paths", lambda p: block(p, F.array_join(F.transform(F.filter("taken", lambda t: t["path"] == p), lambda t: t["text"]), "\n...\n")))
+    made = filled.select("q", F.size("fill.files").cast("long").alias("n_files"), F.size("fill.taken").cast("long").alias("n_chunks"), F.col("fill.used").alias("used"), F.array_join(blocks, "").alias("context")).filter("n_chunks > 0")
+    left = points.select("q", "repo", F.col("path").alias("own")).join(made.select("q"), "q", "left_anti").join(files.select("f", "repo", "path"), "repo")
+    near = left.groupBy("q").agg(F.min_by("f", F.struct(C.path_distance(F.col("path"), F.col("own")), "path")).alias("f"))
+    near = near.join(files.select("f", "path", "text"), "f").select("q", F.lit(1).cast("long").alias("n_files"), F.lit(0).cast("long").alias("n_chunks"), C.token_estimates(F.col("text"))["words_int"].cast("double").alias("used"), block(F.col("path"), F.col("text")).alias("context"))
+    ends = texts.select("q", F.col("submission_prefix").alias("prefix"), F.col("submission_suffix").alias("suffix"))
+    return made.unionByName(near).join(ends, "q")

@@ -52,3 +52,31 @@ def ridges(maps: DataFrame, key: str, values: str, height: int) -> DataFrame:
             yield pd.DataFrame(out, columns=[key, "x", "y"])
 
     return maps.select(F.col(key), F.col(values)).mapInPandas(run, f"{key} bigint, x int, y int")
+
+
+def calibration_end(path: np.ndarray, px_per_mm: float) -> int:
+    """Where a calibration pulse ends in a traced line (y grows downwards), or 0 for none: within the first 20 mm, samples over 4 mm above the
+    median that span more than 2.5 mm; then the first return to within 1 mm of it, and a margin."""
+    limit = min(int(20 * px_per_mm), len(path) - 1)
+    if limit < int(5 * px_per_mm) or limit <= 0:
+        return 0
+    base = float(np.median(path))
+    high = np.flatnonzero(path[:limit] < base - 4 * px_per_mm)
+    if not len(high) or high[-1] - high[0] <= 2.5 * px_per_mm:
+        return 0
+    back = np.flatnonzero(path[high[-1] : limit] > base - px_per_mm)
+    end = high[-1] + back[0] + max(3, int(1.5 * px_per_mm)) if len(back) else high[-1] + int(3 * px_per_mm)
+    return int(min(end, len(path) - 1))
+
+
+def calibration_ends(lines: DataFrame, key: str, path: str, px_per_mm: str) -> DataFrame:
+    """(key, calib_end) of every traced line. Lines are independent: no shuffle."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for pdf in batches:
+            ends = [calibration_end(np.asarray(p, float), s) if p is not None and s == s else 0 for p, s in zip(pdf[path], pdf[px_per_mm], strict=True)]
+            yield pd.DataFrame({key: pdf[key], "calib_end": np.array(ends, np.int32)})
+
+    return lines.select(F.col(key), F.col(path), F.col(px_per_mm).cast("double")).mapInPandas(run, f"{key} bigint, calib_end int")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +31,11 @@ def repository(spark: SparkSession, path: str, language: str, min_lines: int = 1
     if language not in EXTENSIONS:
         raise ValueError(f"unknown language {language!r}")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{EXTENSIONS[language]}").load(path)
-    text = files.select(F.col("path").alias("rel_path"), F.try_validate_utf8(F.col("content").cast("string")).alias("content")).filter("content is not null")
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString().rstrip("/")
+    # Paths come back as URIs, some with an empty authority: both are cut behind the root's own path.
+    below = F.substring_index("path", re.sub(r"^[a-z0-9+.-]+:/*", "/", root) + "/", -1) if root else F.col("path")
+    text = files.select(below.alias("rel_path"), F.try_validate_utf8(F.col("content").cast("string")).alias("content")).filter("content is not null")
     return text.withColumn("n_lines", F.size(C.lines(F.col("content")))).filter(F.col("n_lines") >= min_lines)
 
 
@@ -42,6 +47,38 @@ def write_predictions(rows: DataFrame, path: str) -> None:
     rows.write.json(path)
 
 
+def recent_files(points: DataFrame, files: DataFrame, min_lines: int = 10) -> DataFrame:
+    """(q, f, path, pos): the files of a point's list of modified ones that exist and are long enough, in the list's order. points (q, repo,
+    modified), files (repo, f, path, n_lines)."""
+    listed = points.select("q", "repo", F.posexplode("modified").alias("pos", "path"))
+    return listed.join(files.filter(F.col("n_lines") >= min_lines).select("repo", "f", "path"), ["repo", "path"]).select("q", "f", "path", "pos")
+
+
+def write_submission(rows: DataFrame, path: str) -> None:
+    """The rows as Parquet and as CSV with a header, below path."""
+    rows.write.parquet(f"{path}/parquet")
+    rows.write.option("header", True).csv(f"{path}/csv")
+
+
+def write_signals(rows: DataFrame, path: str) -> None:
+    """rows (record, lead, values) as long CSV: record, lead, sample_idx, value_mv."""
+    rows.select("record", "lead", F.posexplode("values").alias("sample_idx", "value_mv")).write.option("header", True).csv(path)
+
+
+def append_metrics(rows: DataFrame, path: str) -> None:
+    """One more epoch's metrics; earlier files stay, so a run cut short loses nothing."""
+    rows.write.mode("append").parquet(path)
+
+
+ANNOTATION = "leads array<struct<lead_name: string, plotted_pixels: array<array<double>>>>"
+
+
+def annotations(spark: SparkSession, path: str) -> DataFrame:
+    """(file, lead, place, x, y): the pixels plotted for each lead of annotation files, one JSON document a file."""
+    rows = spark.read.schema(ANNOTATION).option("multiLine", True).json(path).select(F.regexp_extract(F.input_file_name(), r"([^/]+)$", 1).alias("file"), F.explode("leads").alias("l"))
+    return rows.select("file", F.col("l.lead_name").alias("lead"), F.posexplode("l.plotted_pixels").alias("place", "p")).select("file", "lead", "place", F.get("p", F.lit(0)).alias("x"), F.get("p", F.lit(1)).alias("y"))
+
+
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
     """(record, fs, n_samples, leads): WFDB headers; gain is the text before "(", baseline the number in it or 0."""
     x = spark.read.option("pathGlobFilter", "*.hea").text(path, wholetext=True)
@@ -52,7 +89,7 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
     def lead(s):
         part = F.split(C.strip(s), r"\s+")
         gain = F.get(part, 2)
-        return F.struct(F.element_at(part, -1).alias("name"), F.regexp_extract(gain, r"^([^(]*)\(", 1).cast("double").alias("gain"), F.coalesce(F.regexp_extract(gain, r"\((-?\d+)\)", 1).try_cast("int"), F.lit(0)).alias("baseline"))
+        return F.struct(F.element_at(part, -1).alias("name"), F.regexp_extract(gain, r"^([^(]*)\(", 1).try_cast("double").alias("gain"), F.coalesce(F.regexp_extract(gain, r"\((-?\d+)\)", 1).try_cast("int"), F.lit(0)).alias("baseline"))
 
     return x.select(F.get(first, 0).alias("record"), F.get(first, 2).cast("double").alias("fs"), F.get(first, 3).cast("int").alias("n_samples"), F.transform(F.slice(rows, F.lit(2), n), lead).alias("leads"))
 
@@ -72,6 +109,6 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                 if len(raw) != r.n_samples * len(r.leads):
                     raise ValueError(f"{r.record}: {len(raw)} samples, {r.n_samples} x {len(r.leads)} expected")
                 for lead, own in zip(r.leads, raw.reshape(r.n_samples, len(r.leads)).T, strict=True):
-                    yield pd.DataFrame({"record": r.record, "lead": lead["name"], "sample_idx": np.arange(len(own), dtype=np.int32), "value_mv": (own - lead["baseline"]) / lead["gain"]})
+                    yield pd.DataFrame({"record": r.record, "lead": lead["name"], "sample_idx": np.arange(len(own), dtype=np.int32), "value_mv": (own - lead["baseline"]) / (lead["gain"] or np.nan)})
 
     return data.join(heads, "record").mapInPandas(run, "record string, lead string, sample_idx int, value_mv double")

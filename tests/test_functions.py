@@ -81,3 +81,65 @@ def test_stream_closes_hours(spark, tmp_path):
     got = {(r.user_id, r.event_type, r.hour): r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     batch = {(r.user_id, r.event_type, r.hour): r.n for r in hourly_stream(events, "user_id", "event_type", "ts", "value").collect()}
     assert got and got.items() <= batch.items()
+
+
+def test_strip_and_softmax(spark):
+    odd = [" a ", "\u00a0\ta\x0b", "\u3000", "", "a b", "\x1fa\u2028", "é"]
+    df = spark.createDataFrame([(x,) for x in odd], "x string")
+    got = [r[0] for r in df.select(C.strip(F.col("x"))).collect()]
+    assert got == [r[0] for r in df.select(F.regexp_replace("x", C.STRIP, "")).collect()] and got[:5] == ["a", "a", "", "", "a b"]
+    z = one(spark, s=C.softmax(F.array(*[F.lit(float(x)) for x in (1, 2, 3)])), n=C.softmax(F.lit(None).cast("array<double>")))
+    e = np.exp([1, 2, 3])
+    assert np.allclose(z["s"], e / e.sum()) and z["n"] is None
+
+
+def test_layout(spark):
+    got = one(spark, b=C.row_bounds(F.array(*map(F.lit, (100, 200, 300, 400))), F.lit(500)), a=C.px_per_mm(F.array(F.lit(250)), F.lit(None).cast("double")), l=C.px_per_mm(F.array().cast("array<int>"), F.lit(1000.0)), n=C.px_per_mm(F.array().cast("array<int>"), F.lit(None).cast("double")))
+    assert [(x["y0"], x["y1"]) for x in got["b"]] == [(30, 150), (150, 250), (250, 350), (350, 470)] and (got["a"], got["l"], got["n"]) == (4.0, 4.0, 4.0)
+
+
+def test_calibration_end(spark):
+    flat = np.full(1000, 100.0)
+    pulse = flat.copy()
+    pulse[10:30] = 60  # 20 pixels wide, 40 high, at 4 pixels a millimetre
+    assert (tracking.calibration_end(flat, 4.0), tracking.calibration_end(pulse, 4.0), tracking.calibration_end(pulse[:15], 4.0)) == (0, 36, 0)
+    df = spark.createDataFrame([(1, pulse.tolist(), 4.0), (2, None, 4.0)], "k bigint, y array<double>, s double")
+    assert sorted(map(tuple, tracking.calibration_ends(df, "k", "y", "s").collect())) == [(1, 36), (2, 0)]
+
+
+def test_repository_and_recents(spark, tmp_path):
+    (tmp_path / "pkg").mkdir()
+    (tmp_path / "pkg" / "a.py").write_text("x\n" * 12)
+    (tmp_path / "b.py").write_text("x\n" * 3)
+    (tmp_path / "c.py").write_bytes(b"\xff\n" * 12)
+    got = files.repository(spark, str(tmp_path), "python")
+    assert [(r.rel_path, r.n_lines) for r in got.collect()] == [("pkg/a.py", 12)]
+    repo = got.select(F.lit("r").alias("repo"), F.lit(1).alias("f"), F.col("rel_path").alias("path"), "n_lines")
+    points = spark.createDataFrame([(0, "r", ["b.py", "pkg/a.py", "gone.py"]), (1, "other", ["pkg/a.py"]), (2, "r", None)], "q bigint, repo string, modified array<string>")
+    assert [tuple(r) for r in files.recent_files(points, repo).collect()] == [(0, 1, "pkg/a.py", 1)]
+
+
+def test_writers_and_annotations(spark, tmp_path):
+    df = spark.createDataFrame([("r", "I", [0.5, 1.5])], "record string, lead string, values array<double>")
+    files.write_signals(df, str(tmp_path / "long"))
+    assert sorted((r.sample_idx, r.value_mv) for r in spark.read.option("header", True).csv(str(tmp_path / "long")).collect()) == [("0", "0.5"), ("1", "1.5")]
+    files.write_submission(df.select("record"), str(tmp_path / "sub"))
+    assert spark.read.parquet(str(tmp_path / "sub/parquet")).count() == spark.read.option("header", True).csv(str(tmp_path / "sub/csv")).count() == 1
+    for _ in range(2):
+        files.append_metrics(spark.range(1).withColumnRenamed("id", "epoch"), str(tmp_path / "m"))
+    assert spark.read.parquet(str(tmp_path / "m")).count() == 2
+    (tmp_path / "x.json").write_text('{"leads": [{"lead_name": "I", "plotted_pixels": [[1, 2], [3, 4.5]]}],\n "other": 1}')
+    assert sorted(map(tuple, files.annotations(spark, str(tmp_path / "x.json")).collect())) == [("x.json", "I", 0, 1.0, 2.0), ("x.json", "I", 1, 3.0, 4.5)]
+
+
+def test_telemetry_csv(spark, tmp_path):
+    names = "deviceId,period,timedate,deviceType," + ",".join(f"t{i}" for i in range(1, 14)) + ",x1,x2,x3"
+    (tmp_path / "d.csv").write_text(f"{names}\nd1,train,2024-03-01 05:55:00 UTC,7," + ",".join(["1.5"] * 12 + ["NaN"]) + ",1,2,3\n")
+    r = files.telemetry(spark, str(tmp_path / "d.csv")).first()
+    assert str(r.ts) == "2024-03-01 05:55:00" and r.t12 == 1.5 and r.t13 is None and r.x3 == 3.0
+    from tessera.operators import rollup
+
+    e = rollup.calendar(rollup.engineered(files.telemetry(spark, str(tmp_path / "d.csv")).withColumn("t1_max", F.lit(0.5)), inverse=True), "ts")
+    assert rollup.matching(e, r"t\d+") == [f"t{i}" for i in range(1, 14)] and "x2" not in rollup.feature_columns(e) and "a3" in rollup.feature_columns(e)
+    got = e.first()
+    assert (got.a1, got.a2, got.a5, got.b3, got.a3, got.month) == (2.25, 1.0, None, 1.5, 1.0, 3)
