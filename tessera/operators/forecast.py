@@ -15,10 +15,10 @@ def fit(rows: DataFrame, features: Sequence[str], target: str, rounds: int = 40,
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    tree = GBTRegressor(featuresCol="_features", labelCol=target, maxDepth=depth, maxIter=rounds, stepSize=rate, subsamplingRate=share, seed=seed)
+    tree = GBTRegressor(featuresCol="_features", labelCol=target, maxDepth=depth, maxIter=rounds, stepSize=rate, subsamplingRate=share, seed=seed, validationTol=tolerance)
     rows = rows.filter(F.col(target).isNotNull())
     if held_out is not None:
-        rows, tree = rows.withColumn("_held_out", held_out), tree.setValidationIndicatorCol("_held_out").setValidationTol(tolerance)
+        rows, tree = rows.withColumn("_held_out", held_out), tree.setValidationIndicatorCol("_held_out")
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="skip"), tree]).fit(rows)
 
 
