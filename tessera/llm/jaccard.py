@@ -11,7 +11,7 @@ with those heads that occur twice and the logarithm of their counts. Chunk and a
 they don't move. Ranges and heads grow with the input, and nothing is broadcast. A shingle that occurs once takes its place in the prefix
 but is never joined, and sets shrink to what they share with any other text: that is all an intersection can hold.
 
-Verification. Every class has an outline, a bitmap of 4 to 8 bits a shared shingle. What one set has and the other's outline lacks is not shared, so
+Verification. Every class has an outline, a bitmap of 2 to 4 bits a shingle. What one set has and the other's outline lacks is not shared, so
 pairs that can't reach the limit are dropped on the outlines (an upper bound, so none is lost) before any set travels.
 
 Components. Only links between different components matter. Each bucket (a shingle and the groups whose prefix has it) first
@@ -86,8 +86,8 @@ def unpacked(blob: bytes, n: int) -> np.ndarray:
 
 
 def outline(hashes: np.ndarray, size: int) -> np.ndarray:
-    """A bitmap of 4 to 8 bits for each of size shingles, as 64-bit words."""
-    bits = np.zeros(1 << max(6, (4 * size - 1).bit_length()), np.uint8)
+    """A bitmap of 2 to 4 bits for each of size shingles, as 64-bit words."""
+    bits = np.zeros(1 << max(6, (2 * size - 1).bit_length()), np.uint8)
     bits[(hashes & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").view(np.int64)
 
@@ -381,16 +381,18 @@ def _linked(postings: DataFrame, names: DataFrame, sets: DataFrame, scratch: Scr
     # The order by place: all sets share it, so the first shared shingle of one is that of the other.
     ordered = F.transform(F.sort_array(F.collect_set(F.struct((F.col("n") - F.col("r")).alias("place"), "x"))), lambda p: p["x"])
     at = at.join(at.groupBy("node").agg(ordered.alias("post")), "node").join(names.select("node", "shared", "outline"), "node")
-    one, two = at, at.select("x", *[F.col(c).alias(f"{c}2") for c in at.columns if c != "x"])
-    # A pair comes up once, in the bucket of its first shared shingle, where the position filter holds; the shingles shared within the prefixes and all that lies
-    # past the prefix must together be enough, and so must what the outlines leave.
-    common, need = F.array_intersect("post", "post2"), 3 * (F.col("n") + F.col("n2"))
-    enough = (F.get(common, F.lit(0)) == F.col("x")) & (7 * (F.size(common) + F.greatest("past", "past2")) >= need)
-    enough &= 7 * most_shared(F.col("outline"), F.col("shared"), F.col("outline2"), F.col("shared2")) >= need
-    rest = one.join(two, "x").filter((F.col("label") < F.col("label2")) & _passes(F.col("n"), F.col("r"), F.col("n2"), F.col("r2")) & enough)
+    # Both sides are one frame under two names, so that it is shuffled once.
+    one, two = (lambda c: F.col(f"one.{c}")), (lambda c: F.col(f"two.{c}"))
+    # A pair comes up once, in the bucket of its first shared shingle, where the position filter holds; what the outlines leave must be
+    # enough, and so must the shingles shared within the prefixes and all that lies past the prefix.
+    common, need = F.array_intersect(one("post"), two("post")), 3 * (one("n") + two("n"))
+    enough = (one("label") < two("label")) & _passes(one("n"), one("r"), two("n"), two("r"))
+    enough &= 7 * most_shared(one("outline"), one("shared"), two("outline"), two("shared")) >= need
+    enough &= (F.get(common, F.lit(0)) == one("x")) & (7 * (F.size(common) + F.greatest(one("past"), two("past"))) >= need)
+    rest = at.alias("one").join(at.alias("two"), one("x") == two("x")).filter(enough).select(one("node").alias("hub"), two("node").alias("spoke"))
     inside = named.join(named.select("head", F.col("node").alias("node2"), F.col("label").alias("label2")), "head").filter("label < label2")
     ends = [F.col("node").alias("hub"), F.col("node2").alias("spoke")]
-    rest = rest.select(*ends).unionByName(_bounded(inside.select(*ends), names)).distinct()
+    rest = rest.unionByName(_bounded(inside.select(*ends), names)).distinct()
     more = scratch.stored(_verified(scratch.stored(_unseen(rest, done), "pairs"), names, sets), "links")
     return labels if more.isEmpty() else _merged(labels, more, scratch)
 
