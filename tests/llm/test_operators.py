@@ -74,6 +74,19 @@ def test_quality_sql(spark):
     assert got == want and any(not r[6] and not r[7] for r in got)
 
 
+@pytest.mark.parametrize("name, table", [("op2_warc_transactions", "pages"), ("op8_grouped_prefix_join", "documents")])
+def test_archive_and_near_duplicate_sql(spark, name, table):
+    import duckdb
+
+    from tessera.llm import queries
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    got = queries.QUERIES[name](spark, SF)
+    want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({queries.ORACLE_SQL[name]})").fetchall()
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr) != []
+
+
 def test_binomial_tail(spark):
     cases = [(0, 1500), (3, 1500), (9, 5000), (150, 40000), (20, 1500)]
     rows = spark.createDataFrame(cases, "k int, n int")
