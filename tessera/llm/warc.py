@@ -8,17 +8,20 @@ Reading takes any WARC 1.x file, plain or gzip'd as a whole or by record, one fi
 yields records one by one. A file must fit in an executor (Spark reads at most 2 GB); ours hold one partition of pages.
 
 Assembly. A response or revisit is a capture. Requests and metadata join it by the concurrent-to identifiers, named by
-either side, directly or over one other record of the transaction. Their records shrink to the first of each kind (smallest identifier) and a
-count before the join, so a capture with countless records stays one row.
+either side, directly or over any number of other records of the transaction: rounds of joins go on until no record is added, and a record
+belongs to the captures that it reaches in the fewest steps. All of them stand in the capture's row; a capture with more than PART of them goes
+on in further rows, so that no row grows without bound. Records that reach no capture are no part of a transaction and left out.
 
 Nulls and edges: a null html is an empty payload; null urls are left out of the header; rows with a null page_id keep an empty one; repeated
 rows are captures of their own; of rows with the largest page_id of a payload, all are responses. A record cut short by the file's end
-or by a broken gzip member, or with a malformed length, is skipped.
+or by a broken gzip member, or with a malformed length, is skipped. A capture without identifier stands alone; a request or metadata record
+without one joins what it names. Equal records count once; unlike ones of one identifier stay together.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +30,8 @@ from .common import fresh_path, stored
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 END = "\r\n\r\n"
+#: About so many requests and metadata records of a capture stand in one row.
+PART = 1000
 RECORDS = "record_id string, type string, target_uri string, concurrent_to array<string>, refers_to string, payload_digest string, payload_bytes bigint, http_head string, fields map<string,string>, payload binary"
 
 
@@ -146,31 +151,48 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content").mapInArrow(run, RECORDS)
 
 
+def _belongings(captures: DataFrame, side: DataFrame) -> DataFrame:
+    """(id, capture) of side records (id, concurrent_to) and captures (record_id, concurrent_to): a breadth-first search from the captures.
+    Most archives are done after the first join; only records that it leaves out take part in the rounds that follow."""
+    links = side.select("id", F.explode("concurrent_to").alias("other"))
+    named = captures.select(F.explode("concurrent_to").alias("id"), F.col("record_id").alias("capture"))
+    direct = links.join(captures, F.col("other") == F.col("record_id"), "left_semi").select("id", F.col("other").alias("capture"))
+    found = [stored(direct.unionByName(named).distinct(), "belongs")]
+    left = side.select("id").join(found[0], "id", "left_anti")
+    if left.isEmpty():
+        return found[0]
+    both = links.unionByName(links.select(F.col("other").alias("id"), F.col("id").alias("other")))
+    edges = stored(both.join(left, "id", "left_semi"), "edges")
+    while True:
+        last = found[-1].select(F.col("id").alias("other"), "capture")
+        more = stored(edges.join(last, "other").select("id", "capture").distinct(), "belongs")
+        if more.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        found.append(more)
+        edges = stored(edges.join(more, "id", "left_anti"), "edges")
+
+
 def assemble(records: DataFrame) -> DataFrame:
-    """One row per capture: its response or revisit, its first request and first metadata record as structs, and their numbers."""
-    main = F.col("type").isin("response", "revisit")
-    slim = records.select("record_id", "type", "target_uri", "http_head", "fields", F.explode_outer("concurrent_to").alias("to"))
-    side = slim.filter(F.col("type").isin("request", "metadata"))
-    captures = records.filter(main & F.col("record_id").isNotNull())
-    keys = captures.select(F.col("record_id").alias("capture")).distinct()
-    named = captures.select(F.col("record_id").alias("capture"), F.explode("concurrent_to").alias("other"))
-    links = side.select("record_id", F.col("to").alias("other")).filter("other is not null")
-    direct = links.join(keys, links["other"] == keys["capture"]).select("record_id", "capture").unionByName(named.select(F.col("other").alias("record_id"), "capture")).distinct()
-    both = links.unionByName(links.select(F.col("other").alias("record_id"), F.col("record_id").alias("other")))
-    over = both.join(direct.withColumnRenamed("record_id", "via"), F.col("other") == F.col("via")).select("record_id", "capture")
-    belongs = direct.unionByName(over.join(direct.select("record_id").distinct(), "record_id", "left_anti")).distinct()
-    of = lambda k, *c: F.min(F.when(F.col("type") == k, F.struct("record_id", *c)))
-    body = side.select("record_id", "type", "target_uri", "http_head", F.to_json("fields").alias("facts")).distinct()
-    sides = belongs.join(body, "record_id").groupBy("capture").agg(
-        of("request", "target_uri", "http_head").alias("request"),
-        of("metadata", "target_uri", "facts").alias("metadata"),
-        F.count_if(F.col("type") == "request").alias("n_requests"),
-        F.count_if(F.col("type") == "metadata").alias("n_metadata"),
-    )
+    """One row per capture: (record_id, part, response, requests, metadata, n_requests, n_metadata), arrays sorted by identifier. part is 0
+    but for captures with more than PART side records, whose arrays are dealt over several rows, each with the response."""
+    captures = records.filter(F.col("type").isin("response", "revisit"))
+    content = F.concat_ws("|", "type", "target_uri", "http_head", F.to_json("fields"), F.array_join("concurrent_to", " "))
+    own = F.coalesce("record_id", F.concat(F.lit("?"), F.md5(content)))
+    side = records.filter(F.col("type").isin("request", "metadata")).select(own.alias("id"), "record_id", "type", "target_uri", "http_head", F.map_entries("fields").alias("facts"), "concurrent_to")
+    belongs = _belongings(captures.filter("record_id is not null").select("record_id", "concurrent_to"), side.select("id", "concurrent_to"))
+    large = belongs.groupBy(F.col("capture").alias("large")).agg(F.ceil(F.count("*") / PART).alias("parts")).filter("parts > 1")
+    mine = belongs.join(large, F.col("capture") == F.col("large"), "left").select(F.col("id").alias("side_id"), "capture", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+    of = lambda k, *c: F.collect_set(F.when(F.col("type") == k, F.struct("record_id", *c)))
+    body = side.groupBy("id").agg(of("request", "target_uri", "http_head").alias("requests"), of("metadata", "target_uri", "facts").alias("metadata"))
+    every = lambda c: F.sort_array(F.flatten(F.collect_list(c))).alias(c)
+    sides = mine.join(body, F.col("side_id") == F.col("id")).groupBy("capture", "part").agg(every("requests"), every("metadata"))
     whole = captures.select("record_id", F.struct(*[c for c in records.columns if c not in ("concurrent_to", "fields")]).alias("response"))
-    found = whole.join(sides, whole["record_id"] == sides["capture"], "left")
-    facts = F.from_json("metadata.facts", "map<string,string>")
-    return found.select("record_id", "response", "request", F.when(F.col("metadata").isNotNull(), F.struct("metadata.record_id", "metadata.target_uri", facts.alias("fields"))).alias("metadata"), F.coalesce("n_requests", F.lit(0)).alias("n_requests"), F.coalesce("n_metadata", F.lit(0)).alias("n_metadata"))
+    found = whole.filter("record_id is not null").join(sides, F.col("record_id") == F.col("capture"), "left").drop("capture")
+    # Captures without identifier would all meet at the join's null key.
+    found = found.unionByName(whole.filter("record_id is null"), allowMissingColumns=True)
+    metadata = F.transform("metadata", lambda m: F.struct(m["record_id"].alias("record_id"), m["target_uri"].alias("target_uri"), F.map_from_entries(m["facts"]).alias("fields")))
+    found = found.select("record_id", F.coalesce("part", F.lit(0)).alias("part"), "response", F.coalesce("requests", F.array()).alias("requests"), F.coalesce(metadata, F.array()).alias("metadata"))
+    return found.withColumn("n_requests", F.size("requests").cast("long")).withColumn("n_metadata", F.size("metadata").cast("long"))
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
@@ -179,8 +201,9 @@ def round_trip(pages: DataFrame) -> DataFrame:
     path = fresh_path(spark, "warc")
     write_archives(pages, path)
     c = assemble(stored(read_archives(spark, path, payloads=False), "records"))  # the joins read the records several times
-    page = F.col("metadata.fields")["pageId"].try_cast("long")
-    rows = c.select(page.alias("page_id"), F.coalesce("response.payload_bytes", F.col("metadata.fields")["payloadBytes"].try_cast("long")).alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.type").alias("record_type"), F.col("response.refers_to").alias("_refers"), "record_id")
+    facts = F.get("metadata", F.lit(0))["fields"]
+    page = facts["pageId"].try_cast("long")
+    rows = c.select(page.alias("page_id"), F.coalesce("response.payload_bytes", facts["payloadBytes"].try_cast("long")).alias("payload_bytes"), F.col("response.payload_digest").alias("payload_digest"), F.col("response.type").alias("record_type"), F.col("response.refers_to").alias("_refers"), "record_id")
     # Only revisits refer to a record; responses would all meet at a null key.
     plain = rows.filter("record_type = 'response'")
     targets = plain.groupBy(F.col("record_id").alias("_refers")).agg(F.max("page_id").alias("refers_to"))

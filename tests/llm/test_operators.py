@@ -372,6 +372,27 @@ def test_warc_odd_archives(spark, tmp_path):
     assert {(r.record_id, bytes(r.payload)) for r in got} == {("<a>", b"abc")} and len(got) > 2
 
 
+def test_warc_whole_transactions(spark, monkeypatch):
+    """Every side record of a capture is emitted, over any number of steps, with or without identifier, in parts where there are many."""
+    side = [("q1", "request", ["r"]), ("q2", "request", ["r"]), ("m1", "metadata", ["q1"]), ("m2", "metadata", ["m1"]), ("m3", "metadata", ["m2", "nowhere"]), ("m4", "metadata", None), ("m5", "metadata", ["m4"]), (None, "metadata", ["r"])]
+    lost = [("o1", "metadata", ["o2"]), ("o2", "request", ["o1"]), ("o3", "metadata", [])]
+    main = [("r", "response", []), ("v", "revisit", ["m4"]), ("bare", "response", None), (None, "response", ["q1"])]
+    rows = [(i, k, f"u-{i}", c, None, None, 1, "h", {"of": str(i)} if k == "metadata" else {}, None) for i, k, c in main + side + side[:3] + lost]
+    records = spark.createDataFrame(rows, warc.RECORDS).withColumn("part", F.lit("clash"))
+    want = {"r": {"q1", "q2", "m1", "m2", "m3", None}, "v": {"m4", "m5"}, "bare": set(), None: set()}
+    for most in (1000, 2):
+        monkeypatch.setattr(warc, "PART", most)
+        got = warc.assemble(records).collect()
+        found = {}
+        for r in got:
+            assert (r.n_requests, r.n_metadata) == (len(r.requests), len(r.metadata)) and r.response.record_id == r.record_id and r.response.part == "clash"
+            assert all(m.fields == {"of": str(m.record_id)} and m.target_uri == f"u-{m.record_id}" for m in r.metadata)
+            found.setdefault(r.record_id, []).extend(x.record_id for x in r.requests + r.metadata)
+        assert {k: set(v) for k, v in found.items()} == want and all(len(v) == len(set(v)) for v in found.values())
+        assert (len(got) == 4) if most == 1000 else (len({r.part for r in got if r.record_id == "r"}) > 1)
+    assert warc.assemble(records.limit(0)).count() == 0
+
+
 def test_url_ranks(spark):
     """Both rankings against the dense solution in which hosts without out-links return their mass to the seeds."""
     rnd = random.Random(4)
