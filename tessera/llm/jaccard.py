@@ -26,13 +26,14 @@ way are deleted before the result is returned, but for the two small ones it rea
 from __future__ import annotations
 
 import hashlib
+import string
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, stored
+from .common import SPACES, WORD, Scratch, stored
 
 WIDTH = 5
 CHUNK = 8_000_000  # characters whose shingles meet in one group
@@ -63,7 +64,13 @@ def shingles(words: list[bytes]) -> np.ndarray:
 
 
 def _digest(data: bytes) -> str:
-    return hashlib.blake2b(data, digest_size=16).hexdigest()
+    return hashlib.sha256(data).hexdigest()[:32]
+
+
+def node_of(text: Column) -> Column:
+    """The digest of a text's words, the same as Python's, by SQL functions. A-Z are lower-cased, other letters aren't."""
+    low = F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
+    return F.left(F.sha2(F.trim(F.regexp_replace(low, SPACES + "+", " ")), 256), F.lit(32))
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -408,24 +415,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     text = F.coalesce(F.col(text_col), F.lit(""))
     order = F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text"))
-    sets = _digested(docs.select(row.alias("_row"), order.alias("_order"), text.alias("_text")))
     # One row of each class first, which copies reach the shuffle as; then a class has one row, however many copies it had.
-    once = sets.filter("_node is not null").groupBy("_node").agg(F.min_by("_row", "_order").alias("_row")).join(others, "_node", "left_anti")
-    return sets.filter("_node is null").select("_row").unionByName(once.select("_row")).select("_row.*")
-
-
-def _digested(rows: DataFrame) -> DataFrame:
-    """_row, _order and the digest of the words of _text (_node), null for none."""
-    from pyspark.sql.types import StringType, StructField, StructType
-
-    fields = StructType([*[f for f in rows.schema.fields if f.name != "_text"], StructField("_node", StringType())])
-
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            found = (_words(t.as_py()) for t in batch.column(2))
-            nodes = [_digest(b" ".join(w)) if w else None for w in found]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(nodes, pa.string())], ["_row", "_order", "_node"])
-
-    return rows.mapInArrow(run, fields)
+    some = docs.filter(text.rlike(WORD)).select(row.alias("_row"), order.alias("_order"), node_of(text).alias("_node"))
+    once = some.groupBy("_node").agg(F.min_by("_row", "_order").alias("_row")).join(others, "_node", "left_anti")
+    return docs.filter(~text.rlike(WORD)).unionByName(once.select("_row.*"))

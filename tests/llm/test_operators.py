@@ -372,6 +372,12 @@ def test_warc_odd_archives(spark, tmp_path):
     assert {(r.record_id, bytes(r.payload)) for r in got} == {("<a>", b"abc")} and len(got) > 2
 
 
+def test_node_of_matches_python(spark):
+    texts = ["", " \t\n", "A b", "\x0bA  B\x0c\r\n c ", "ÀÉ İ ſ K a\u00a0B \u2003x\x1cY\x85z", "Straße SS ΣΑΣ", "𝒜 \x00 Q", "W " * 5000]
+    rows = docs_of(spark, texts).select("text", jaccard.node_of(F.col("text")).alias("node")).collect()
+    assert [r.node for r in rows] == [jaccard._digest(b" ".join(jaccard._words(r.text))) for r in rows] and len({r.node for r in rows}) == 7
+
+
 def test_warc_whole_transactions(spark, monkeypatch):
     """Every side record of a capture is emitted, over any number of steps, with or without identifier, in parts where there are many."""
     side = [("q1", "request", ["r"]), ("q2", "request", ["r"]), ("m1", "metadata", ["q1"]), ("m2", "metadata", ["m1"]), ("m3", "metadata", ["m2", "nowhere"]), ("m4", "metadata", None), ("m5", "metadata", ["m4"]), (None, "metadata", ["r"])]
