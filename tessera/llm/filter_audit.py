@@ -17,6 +17,7 @@ table has no parts and gives no rows. Other columns aren't read, so their names
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import permutations
 
 from pyspark.sql import Column, DataFrame
@@ -86,8 +87,18 @@ def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per part, order of the filters and step: kept, removed, redundant, unique_fails, good_lost, toxic_lost and shapley."""
     counts = profile(docs, labels, Scratch(docs.sparkSession))
     parts = counts.groupBy("part").agg(F.collect_list(F.struct("mask", *GAMES)).alias("counts"))
-    total = lambda chosen: F.aggregate(F.filter("counts", chosen), F.lit(0).cast("long"), lambda a, c: a + c["n"])
-    games = parts.select("part", *[worths(g).alias(g) for g in GAMES], total(lambda c: F.lit(True)).alias("all"), *[F.array(*[total(lambda c, m=m: m(c, 1 << i)) for i in range(len(FILTERS))]).alias(name) for name, m in (("failing", lambda c, b: c["mask"].bitwiseAND(b) != 0), ("only", lambda c, b: c["mask"] == b))])
+    bits = [F.lit(1 << i) for i in range(len(FILTERS))]
+
+    def total(holds: Callable[[Column], Column]) -> Column:
+        return F.aggregate(F.filter("counts", lambda c: holds(c["mask"])), F.lit(0).cast("long"), lambda a, c: a + c["n"])
+
+    def failing(bit: Column) -> Column:
+        return total(lambda mask: mask.bitwiseAND(bit) != 0)
+
+    def only(bit: Column) -> Column:
+        return total(lambda mask: mask == bit)
+
+    games = parts.select("part", *[worths(g).alias(g) for g in GAMES], total(lambda mask: mask >= 0).alias("all"), F.array(*map(failing, bits)).alias("failing"), F.array(*map(only, bits)).alias("only"))
     games = games.withColumn("potential", potentials(F.col("n")))
     bit = lambda letter: F.call_function("shiftleft", F.lit(1), F.ascii(letter) - ord(FILTERS[0]))
     steps = games.withColumn("filter_order", F.explode(F.array(*[F.lit(o) for o in ORDERS]))).select("*", F.posexplode(F.split("filter_order", "")).alias("_before", "_filter")).filter("_filter != ''")
