@@ -35,7 +35,7 @@ BUCKETS = 10_000
 MIN_WORDS, SHARE, SEED = 20, 25, 7
 DIGIT = 11
 BLOCK_BITS = (12, 20)  # positions of a block: more where there are more rows
-PIECE = 1 << 20  # bytes of a text that are split into words at once
+PIECE = 1 << 17  # bytes of a text that are split into words at once; features that are counted at once
 _LETTERS = bytes(c if 48 <= c < 58 or 97 <= c < 123 or c > 127 else 32 for c in range(256))
 OUT = ("doc_id", "n_features", "weight", "score")
 
