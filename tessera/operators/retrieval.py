@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +15,39 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 FILE = "<|file_sep|>"
 
 
+class Similarity(NamedTuple):
+    """How alike two texts are: each is prepared once, prepared ones are compared."""
+
+    prepare: Callable[[Column], Column]
+    compare: Callable[[Column, Column], Column]
+
+
+def _set_cosine(a: Column, b: Column) -> Column:
+    return F.coalesce(F.size(F.array_intersect(a, b)) / F.sqrt(F.greatest(F.size(a), F.lit(1)).cast("double") * F.greatest(F.size(b), F.lit(1))), F.lit(0.0))
+
+
+#: The cosine of the two texts' sets of tokens.
+TOKEN_SETS = Similarity(lambda text: F.array_distinct(C.tokens(text)), _set_cosine)
+
+
+def encoded(encode: Callable[[Column], Column]) -> Similarity:
+    """The cosine of two vectors; encode gives a text's, as an array of numbers: a Pandas UDF around a model, an expression, or the column itself
+    where it holds vectors. A vector that is null or has no length is like none (0)."""
+    return Similarity(encode, lambda a, b: F.coalesce(C.cosine(a, b), F.lit(0.0)))
+
+
+def hashed_tokens(size: int = 64) -> Callable[[Column], Column]:
+    """An encoder without a model: tokens counted by hash, signed by another bit of it, so that unlike tokens cancel out on average."""
+    h = lambda t: F.xxhash64(t)
+    slots = F.sequence(F.lit(0), F.lit(size - 1))
+
+    def encode(text: Column) -> Column:
+        marks = F.transform(C.tokens(text), lambda t: F.struct(F.pmod(h(t), F.lit(size)).cast("int").alias("at"), F.when(F.shiftright(h(t), 40).bitwiseAND(F.lit(1)) == 1, 1.0).otherwise(-1.0).alias("by")))
+        return C.bound(marks, lambda m: F.transform(slots, lambda i: F.aggregate(F.filter(m, lambda x: x["at"] == i), F.lit(0.0), lambda s, x: s + x["by"])))
+
+    return encode
+
+
 def shared_lines(files: DataFrame, key: str = "id", text: str = "text", least: int = 10) -> DataFrame:
     """(a, b, iou) of files that share a long line, a < b: lines are joined, as hashes, so that pairs without any never arise."""
     lines = files.select(F.col(key).alias("f"), F.transform(C.long_lines(F.col(text), least), lambda x: F.xxhash64(x)).alias("lines"))
@@ -59,20 +95,21 @@ def over_p95(scores: DataFrame, n: Column | None = None) -> DataFrame:
     return ranked.withColumn("norm", F.least(F.col("score") / least, F.lit(1.0))).drop("_n", "_i")
 
 
-def file_signals(points: DataFrame, files: DataFrame, recents: DataFrame, imports: DataFrame, least: int = 10) -> DataFrame:
+def file_signals(points: DataFrame, files: DataFrame, recents: DataFrame, imports: DataFrame, least: int = 10, anchors: DataFrame | None = None) -> DataFrame:
     """(q, f, path, iou, dist, ref_dist, is_import, is_recent, bm25, bm25_p95) of every point and file of its repository.
 
     points (q, repo, path, text), files (f, repo, path, text), recents (q, f), imports (q, path). dist is the path distance to the point's
-    own file, ref_dist that to the nearest imported file, or the depth where nothing is imported. bm25 is over its greatest. Lines are cut once per
-    text and travel as hashes; texts don't.
+    own file, ref_dist that to the point's anchor where anchors (q, anchor) has one, else to the nearest imported file, or the depth where nothing is
+    imported. bm25 is over its greatest. Lines are cut once per text and travel as hashes; texts don't.
     """
     hashed = lambda t: F.transform(C.long_lines(F.col(t), least), lambda x: F.xxhash64(x))
     refs = imports.groupBy("q").agg(F.collect_set("path").alias("refs"))
     p = points.select("q", "repo", F.col("path").alias("own"), hashed("text").alias("pl")).join(refs, "q", "left")
+    p = p.join(anchors.select("q", "anchor"), "q", "left") if anchors is not None else p.withColumn("anchor", F.lit(None).cast("string"))
     pair = p.join(files.select("f", "repo", "path", hashed("text").alias("fl")), "repo").filter("own != path")
     both = F.size(F.array_intersect("pl", "fl"))
     iou = F.coalesce(F.try_divide(both, F.size("pl") + F.size("fl") - both), F.lit(0.0))
-    ref_dist = F.coalesce(F.array_min(F.transform("refs", lambda r: C.path_distance(F.col("path"), r))), F.size(F.split("path", "/")))
+    ref_dist = F.coalesce(C.path_distance(F.col("path"), F.col("anchor")), F.array_min(F.transform("refs", lambda r: C.path_distance(F.col("path"), r))), F.size(F.split("path", "/")))
     pair = pair.select("q", "repo", "f", "path", iou.alias("iou"), C.path_distance(F.col("path"), F.col("own")).alias("dist"), ref_dist.alias("ref_dist"), F.coalesce(F.array_contains("refs", F.col("path")), F.lit(False)).alias("is_import"))
     pair = pair.join(recents.select("q", "f", F.lit(True).alias("is_recent")).distinct(), ["q", "f"], "left").withColumn("is_recent", F.coalesce("is_recent", F.lit(False)))
     scores = pair.select("q", "f").join(bm25(points, files, repo="repo"), ["q", "f"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
@@ -113,12 +150,9 @@ def block(path: Column, content: Column) -> Column:
     return F.concat(F.lit(FILE), path, F.lit("\n"), content)
 
 
-def whole_files(scored: DataFrame, files: DataFrame, most: int = 5, budget: int = 6000, chars: float = 4.0, worth: int = 200) -> DataFrame:
-    """(q, n_files, used, context): the best files, whole, worst first. One that exceeds the budget is cut to the characters left for it
-    (``chars`` a token), or left out where no more than ``worth`` are left."""
-    few = top(scored, "q", most, F.desc("score"), F.col("path")).join(files.select("f", "text"), "f")
-    listed = few.groupBy("q").agg(F.reverse(F.sort_array(F.collect_list(F.struct("rank", "path", "text")))).alias("x"))  # at most ``most``
-    cost = lambda t: C.token_estimates(t)["words_int"]
+def within_budget(items: Column, budget: int, chars: float, worth: int, cost: Callable[[Column], Column]) -> Column:
+    """Struct (used, parts): the blocks of an array of structs (path, text), in its order. A text that exceeds what is left of the budget is cut to the
+    characters left (``chars`` a token), or left out where no more than ``worth`` are left."""
     zero = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<string>").alias("parts"))
 
     def step(a: Column, x: Column) -> Column:
@@ -128,19 +162,44 @@ def whole_files(scored: DataFrame, files: DataFrame, most: int = 5, budget: int
         more = F.struct((a["used"] + cost(text)).cast("long").alias("used"), F.concat(a["parts"], F.array(block(x["path"], text))).alias("parts"))
         return F.when(text.isNotNull(), more).otherwise(a)
 
-    return listed.select("q", F.aggregate("x", zero, step).alias("a")).select("q", F.size("a.parts").cast("long").alias("n_files"), "a.used", F.array_join("a.parts", "").alias("context"))
+    return F.aggregate(items, zero, step)
+
+
+def whole_files(scored: DataFrame, files: DataFrame, most: int = 5, budget: int = 6000, chars: float = 4.0, worth: int = 200) -> DataFrame:
+    """(q, n_files, used, context): the best files, whole, worst first, within_budget."""
+    few = top(scored, "q", most, F.desc("score"), F.col("path")).join(files.select("f", "text"), "f")
+    listed = few.groupBy("q").agg(F.reverse(F.sort_array(F.collect_list(F.struct("rank", "path", "text")))).alias("x"))  # at most ``most``
+    filled = listed.select("q", within_budget(F.col("x"), budget, chars, worth, lambda t: C.token_estimates(t)["words_int"]).alias("a"))
+    return filled.select("q", F.size("a.parts").cast("long").alias("n_files"), "a.used", F.array_join("a.parts", "").alias("context"))
 
 
 def top(rows: DataFrame, by: str, k: int, *order) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("rank") <= k)
 
 
-def best_context(points: DataFrame, files: DataFrame, recents: DataFrame, strategy: str = "final", most_files: int = 5, chunks_per_file: int = 3, size: int = 30, budget: int = 6000, extension: str = ".py") -> DataFrame:
+def scored_chunks(few: DataFrame, files: DataFrame, asks: DataFrame, cut: Callable[[Column], Column], per_file: int, similarity: Similarity = TOKEN_SETS, whole: bool = True) -> DataFrame:
+    """few's rows (q, f, path, ...) with each one's best chunks: pos, text and sim, the similarity to the point's text in asks (q, text).
+
+    cut gives the chunk texts of an array of lines. A file without chunks enters whole, with similarity 0 (whole=False: not at all). Ties go to the earlier
+    chunk. Each file is cut and prepared once, however many points name it.
+    """
+    own = files.join(few.select("f").distinct(), "f", "left_semi").select("f", F.col("text").alias("_all"), cut(C.lines(F.col("text"))).alias("_cut"))
+    part = F.transform("_cut", lambda t, i: F.struct(i.alias("pos"), t.alias("text"), F.lit(False).alias("all")))
+    alone = F.array(F.struct(F.lit(0).alias("pos"), F.col("_all").alias("text"), F.lit(True).alias("all"))) if whole else F.slice(part, F.lit(1), F.lit(0))
+    chunks = own.select("f", F.explode(F.when(F.size("_cut") > 0, part).otherwise(alone)).alias("c")).select("f", "c.*")
+    chunks = chunks.select("f", "pos", "text", "all", F.when(~F.col("all"), similarity.prepare(F.col("text"))).alias("_c"))
+    asked = asks.select("q", similarity.prepare(F.col("text")).alias("_q"))
+    sim = F.when(F.col("all"), 0.0).otherwise(similarity.compare(F.col("_q"), F.col("_c")))
+    pairs = few.join(chunks, "f").join(asked, "q").select(*few.columns, "pos", "text", sim.alias("sim"))
+    return pairs.withColumn("_r", F.row_number().over(Window.partitionBy("q", "f").orderBy(F.desc("sim"), "pos"))).filter(F.col("_r") <= per_file).drop("_r")
+
+
+def best_context(points: DataFrame, files: DataFrame, recents: DataFrame, strategy: str = "final", most_files: int = 5, chunks_per_file: int = 3, size: int = 30, budget: int = 6000, extension: str = ".py", similarity: Similarity = TOKEN_SETS) -> DataFrame:
     """The context of every completion point: (q, n_files, n_chunks, used, context, prefix, suffix).
 
     points (q, repo, path, prefix, suffix), files (f, repo, path, text), recents (q, f). Files are scored by the strategy on the point's
-    retrieval text. The best 3 * most_files are cut into chunks; the chunks of each that share most tokens with the point's scope (a cosine of token
-    sets) enter a greedy fill of the budget, and files follow by ascending score, so that the best stand last. A point for which nothing was
+    retrieval text. The best 3 * most_files are cut into chunks; the chunks of each that are most similar to the point's scope (a file
+    without chunks: the whole file, with similarity 0) enter a greedy fill of the budget, and files follow by ascending score, so that the best stand last. A point for which nothing was
     chosen gets the nearest file of its repository, whole.
     """
     texts = code.completion_texts(points, files, extension)
@@ -149,12 +208,8 @@ def best_context(points: DataFrame, files: DataFrame, recents: DataFrame, strate
     scored = file_scores(file_signals(asks, files, recents, imports), strategy).withColumnRenamed("score", "file_score")
     few = top(scored.select("q", "f", "path", "file_score"), "q", 3 * most_files, F.desc("file_score"), F.col("path")).drop("rank")
     # Texts come back only for the files that are left.
-    chunks = few.join(files.select("f", "text"), "f").select("q", "f", "path", "file_score", F.explode(C.sliding_chunks(C.lines(F.col("text")), size)).alias("c"))
-    chunks = chunks.select("q", "f", "path", "file_score", F.col("c.pos").alias("pos"), F.col("c.text").alias("text"), F.array_distinct(C.tokens(F.col("c.text"))).alias("ct"))
-    chunks = chunks.join(texts.select("q", F.array_distinct(C.tokens(F.col("embedding_query"))).alias("qt")), "q")
-    similar = F.coalesce(F.size(F.array_intersect("qt", "ct")) / F.sqrt(F.greatest(F.size("qt"), F.lit(1)).cast("double") * F.greatest(F.size("ct"), F.lit(1))), F.lit(0.0))
-    chunks = chunks.select("q", "f", "path", "file_score", "pos", "text", similar.alias("sim"))
-    best = chunks.withColumn("r", F.row_number().over(Window.partitionBy("q", "f").orderBy(F.desc("sim"), "pos"))).filter(F.col("r") <= chunks_per_file)
+    cut = lambda lines: F.transform(C.sliding_chunks(lines, size), lambda x: x["text"])
+    best = scored_chunks(few, files, texts.select("q", F.col("embedding_query").alias("text")), cut, chunks_per_file, similarity)
     cost = C.token_estimates(F.col("text"))["words_int"].cast("double")
     item = F.struct((-(F.col("sim") + F.col("file_score"))).alias("s"), F.col("path"), F.col("pos"), F.col("text"), F.col("file_score"), cost.alias("cost"))
     listed = best.groupBy("q").agg(F.sort_array(F.collect_list(item)).alias("items"))  # at most 3 * most_files * chunks_per_file items

@@ -23,7 +23,9 @@ def telemetry(spark: SparkSession, path: str) -> DataFrame:
 
 
 def completion_points(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(POINTS).json(path).withColumn("modified", F.coalesce("modified", F.array().cast("array<string>")))
+    """The points, with their place in the input as ordinal: file, start of the block that a task read, row in the task. It sorts as the input does."""
+    rows = spark.read.schema(POINTS).json(path).withColumn("modified", F.coalesce("modified", F.array().cast("array<string>")))
+    return rows.withColumn("ordinal", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")))
 
 
 def repository(spark: SparkSession, path: str, language: str, min_lines: int = 10) -> DataFrame:
@@ -33,8 +35,10 @@ def repository(spark: SparkSession, path: str, language: str, min_lines: int = 1
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*{EXTENSIONS[language]}").load(path)
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
     root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString().rstrip("/")
-    # Paths come back as URIs, some with an empty authority: both are cut behind the root's own path.
-    below = F.substring_index("path", re.sub(r"^[a-z0-9+.-]+:/*", "/", root) + "/", -1) if root else F.col("path")
+    # Paths come back as URIs, some with an empty authority: both are cut behind the root's own path, at its
+    # first occurrence, as it may come again below.
+    own = re.sub(r"^[a-z0-9+.-]+:/*", "/", root) + "/"
+    below = F.substring(F.col("path"), F.locate(own, F.col("path")) + F.lit(len(own)), F.length("path"))
     text = files.select(below.alias("rel_path"), F.try_validate_utf8(F.col("content").cast("string")).alias("content")).filter("content is not null")
     return text.withColumn("n_lines", F.size(C.lines(F.col("content")))).filter(F.col("n_lines") >= min_lines)
 
@@ -43,8 +47,10 @@ def write_by_period(rows: DataFrame, path: str) -> None:
     rows.write.partitionBy("period").option("header", True).csv(path)
 
 
-def write_predictions(rows: DataFrame, path: str) -> None:
-    rows.write.json(path)
+def write_predictions(rows: DataFrame, path: str, ordinal: str = "ordinal") -> None:
+    """The rows but for the ordinal as JSON lines in its order: each file holds a range of it, and the files' names sort as the ranges do, so that
+    they can be put end to end. No task sees all rows."""
+    rows.repartitionByRange(F.col(ordinal)).sortWithinPartitions(ordinal).drop(ordinal).write.json(path)
 
 
 def recent_files(points: DataFrame, files: DataFrame, min_lines: int = 10) -> DataFrame:
