@@ -7,7 +7,8 @@ encoding of its bytes, as merges inside a token don't depend on what lies beyond
 outside the window can't change any more. Decoding concatenates the two halves' bytes up the tree.
 
 A text is cut into pieces by the tokenizer's pattern; each is encoded separately; a piece that is a token itself is that token.
-Nulls and edges: null and empty texts have no tokens; very long pieces need memory in proportion to their length only.
+Nulls and edges: null and empty texts have no tokens; very long pieces need memory in proportion to their length only. An empty table gives
+no rows; a null id keeps its row and repeated rows are rows of their own; other columns aren't read, so their names can't clash.
 """
 
 from __future__ import annotations
@@ -19,8 +20,11 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAF = 32
+LEAF = 4  # bytes that are merged at once
+IDS = 64  # ids whose bytes are put together at once
+WINDOW = 32  # bytes of a window that are merged at once
 CACHED = 200_000
+ROWS = 200  # texts whose ids are held at once
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
@@ -69,7 +73,7 @@ class Tree:
 
     def encode_tree(self, piece: bytes, whole: bool = True) -> list[int]:
         """whole=False stands for a window, which is merged at once while it is small and halved at another place if not."""
-        if len(piece) <= (LEAF if whole else 8 * LEAF):
+        if len(piece) <= (LEAF if whole else max(LEAF, WINDOW)):
             return self.merged(piece)
         half = len(piece) // 2
         return self.join(self.encode_tree(piece[:half]), self.encode_tree(piece[half:]))
@@ -79,10 +83,11 @@ class Tree:
         return [known] if known is not None else self.encode_tree(piece)
 
     def decode(self, ids: list[int]) -> bytes:
-        if len(ids) <= 4096:
-            return b"".join(map(self.bytes_of.__getitem__, ids))
-        half = len(ids) // 2
-        return self.decode(ids[:half]) + self.decode(ids[half:])
+        """Up the tree: the leaves are IDS ids each, and neighbours are put together level by level."""
+        parts = [b"".join(map(self.bytes_of.__getitem__, ids[i : i + IDS])) for i in range(0, len(ids), IDS)]
+        while len(parts) > 1:
+            parts = [b"".join(parts[i : i + 2]) for i in range(0, len(parts), 2)]
+        return parts[0] if parts else b""
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -106,6 +111,16 @@ class _Pieces(dict):
         return ids
 
 
+#: The vocabulary that this worker was last given, with the pieces encoded so far: its next task goes on with them.
+_KEPT: list[tuple[dict[bytes, int], _Pieces]] = []
+
+
+def _pieces(ranks: dict[bytes, int]) -> _Pieces:
+    if not _KEPT or _KEPT[0][0] is not ranks:
+        _KEPT[:] = [(ranks, _Pieces(Tree(ranks)))]
+    return _KEPT[0][1]
+
+
 def encode_texts(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and ids (array of int) of every text; the vocabulary (a fixed size) travels in a broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
@@ -115,10 +130,12 @@ def encode_texts(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col:
         import regex
         from itertools import chain
 
-        pieces, cut = _Pieces(Tree(shared.value)), regex.compile(pattern)
+        pieces, cut = _pieces(shared.value), regex.compile(pattern)
         for batch in batches:
-            ids = [list(chain.from_iterable(map(pieces.__getitem__, cut.findall(t)))) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            for lo in range(0, batch.num_rows, ROWS):
+                part = batch.slice(lo, ROWS)
+                ids = [list(chain.from_iterable(map(pieces.__getitem__, cut.findall(t.as_py())))) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, "doc_id bigint, ids array<int>")
 
@@ -132,8 +149,8 @@ def digests(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str
         import regex
         from itertools import chain
 
-        tree = Tree(shared.value)
-        pieces, cut, sha = _Pieces(tree), regex.compile(pattern), hashlib.sha256
+        pieces, cut, sha = _pieces(shared.value), regex.compile(pattern), hashlib.sha256
+        tree = pieces.tree
         names = {i: str(i) for i in tree.bytes_of}
         for batch in batches:
             n, a, b = [], [], []

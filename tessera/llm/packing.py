@@ -5,12 +5,13 @@ A document of n tokens becomes pieces of the largest capacity and a rest. Pieces
 fits nowhere, a bin opens: for every capacity the pieces still to come are laid into it on trial, longest first where they fit, and the
 capacity of least cost per token so filled is opened, priced as the smallest bin that holds the trial's contents. So short bins and
 long ones compete for each piece by what the shard's own rest can fill. Later pieces may find a tighter place than the trial gave them; at the
-end every bin shrinks to the smallest capacity that holds its contents. A bin costs its capacity and a quadratic share for
-attention (COST_LENGTH: the length at which both are equal). The number of shards follows the number of pieces, so no task
+end every bin shrinks to the smallest capacity that holds its contents. A bin costs its capacity, a quadratic share for
+attention (COST_LENGTH: the length at which both are equal) and a fixed OVERHEAD (a launch, its padding), so that neither the least nor the largest
+size wins by itself: between the two middle ones the price of a full token is equal, and what fills them best decides. The number of shards follows the number of pieces, so no task
 grows with the input.
 
 Nulls and edges: null and empty texts have no tokens and no row; a null doc_id is packed like any other; repeated rows are packed once
-each; pieces of equal length are placed by doc_id (nulls last), then piece.
+each; pieces of equal length are placed by doc_id (nulls last), then piece. An empty table gives no rows; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -24,12 +25,13 @@ from .common import stored, words
 
 CAPACITIES = (512, 1024, 2048, 4096)
 COST_LENGTH = 4096.0
+OVERHEAD = 512.0
 PER_SHARD = 4000
 SCHEMA = "doc_id bigint, piece int, n_tokens int, bin_id string, opened int, capacity int, position int"
 
 
 def cost(capacity: int) -> float:
-    return capacity + capacity * capacity / COST_LENGTH
+    return OVERHEAD + capacity + capacity * capacity / COST_LENGTH
 
 
 def fill(sizes: list[int], room: int, start: int, low: list[int]) -> int:
