@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
 from tessera.operators import code
+from tessera.operators.tables import stored
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+PER_LOT = 10_000
 FILE = "<|file_sep|>"
 
 
@@ -62,25 +64,31 @@ def bm25(queries: DataFrame, files: DataFrame, k1: float = K1, b: float = B, rep
     that key, queries meet their own repository only, and frequencies and lengths are the repository's.
 
     A term in more than half of the files has a negative idf; it gets EPSILON times the mean idf instead. A query's repeated
-    terms count as often. Terms and documents are reduced to counts before any join.
+    terms count as often.
+
+    The corpus is cut into terms once: they are counted file by file and stored, and lengths, frequencies and hits are read from there. The
+    queries' weights are stored too, one row a term with its queries, so that a term of a file meets one row however many ask for it, and
+    Spark knows their true size when it chooses the join. A file's terms lie together, hence scores are summed before they are shuffled.
     """
     key = [repo] if repo else []
-    cut = files.select(*key, "f", C.tokens(F.col("text")).alias("t"))
+    cut = files.select(*key, "f", C.tokens(F.col("text")).alias("t")).repartition("f")
     terms = cut.select(*key, "f", F.size("t").alias("len"), F.explode("t").alias("term")).groupBy(*key, "f", "len", "term").agg(F.count("*").alias("tf"))
+    terms = stored(terms, "terms")
     sizes = files.groupBy(*key).agg(F.count("*").alias("n"))
-    tokens = terms.groupBy(*key).agg(F.sum("tf").alias("all"))
-    stats = sizes.join(tokens, key) if key else sizes.join(F.broadcast(tokens))
-    stats = stats.select(*key, "n", (F.col("all") / F.col("n")).alias("mean"))
-    df = terms.groupBy(*key, "term").agg(F.count("*").alias("df"))
-    df = df.join(stats, key) if key else df.join(F.broadcast(stats))
-    df = df.select(*key, "term", "mean", F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    floor = df.groupBy(*key).agg((F.avg("idf") * EPSILON).alias("floor"))
-    idf = df.join(floor, key) if key else df.join(F.broadcast(floor))
-    idf = idf.select(*key, "term", "mean", F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf")).alias("idf"))
+    seen = terms.groupBy(*key, "term").agg(F.count("*").alias("df"), F.sum("tf").alias("all"))
+    tokens = seen.groupBy(*key).agg(F.sum("all").alias("all"))
+    both = lambda one, two: one.join(two, key) if key else one.join(F.broadcast(two))  # noqa: E731  without a key, two is one row
+    stats = both(sizes, tokens).select(*key, "n", (F.col("all") / F.col("n")).alias("mean"))
+    idf = both(seen, stats).select(*key, "term", "mean", F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    floor = idf.groupBy(*key).agg((F.avg("idf") * EPSILON).alias("floor"))
     asked = queries.select(*key, "q", F.explode(C.tokens(F.col("text"))).alias("term")).groupBy(*key, "q", "term").agg(F.count("*").alias("times"))
-    hits = asked.join(idf, [*key, "term"]).join(terms, [*key, "term"])
-    part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
-    return hits.groupBy("q", "f").agg(F.sum(part).alias("score"))
+    wanted = both(asked.join(idf, [*key, "term"]), floor).select(*key, "term", "mean", "q", (F.col("times") * F.when(F.col("idf") < 0, F.col("floor")).otherwise(F.col("idf"))).alias("w"))
+    # A term's queries are collected in lots of about PER_LOT, so that no row grows with their number.
+    lot = F.pmod(F.xxhash64("q"), F.lit(1 + queries.count() // PER_LOT))
+    weights = stored(wanted.groupBy(*key, "term", "mean", lot.alias("lot")).agg(F.collect_list(F.struct("q", "w")).alias("asks")), "weights")
+    share = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
+    hits = terms.join(weights.drop("lot"), [*key, "term"]).select("f", share.alias("share"), F.explode("asks").alias("a"))
+    return hits.groupBy(F.col("a.q").alias("q"), "f").agg(F.sum(F.col("a.w") * F.col("share")).alias("score"))
 
 
 def over_p95(scores: DataFrame, n: Column | None = None) -> DataFrame:
