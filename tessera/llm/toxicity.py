@@ -2,24 +2,27 @@
 
 Words (lower case, outer punctuation off) are hashed into BUCKETS embeddings. Filters of several widths slide over a text, each
 keeps its greatest response anywhere in the text, and a logistic layer weighs them. The fit uses at most ``per_class``
-labelled rows of each class (those of smallest hash; of them texts of up to FIT_CHARS characters), weighted back to the classes' true shares, which are counted over all
+labelled rows of each class (those of smallest hash; of them texts of up to FIT_CHARS characters; copies of a row count once), weighted back to the classes' true shares, which are counted over all
 labelled rows; all other labelled rows (a quarter, by hash) are scored and counted by language, score bin and label, and these
-counts scale the scores (Platt) and set a threshold per language where it has enough positives, else for all languages together. Scores come from the text alone. Every row is scored, over
+counts scale the scores (Platt) and set a threshold per language where it has enough positives, else for all languages together. The first dimension of an embedding starts from how the word goes with the label in the sample; the fit moves all of them. Scores come from the text alone. Every row is scored, over
 its whole text, with filters folded into the embeddings, so that a word costs one table row per filter offset.
 
 Nulls and edges: null and empty texts are scored as an empty text; labels with nulls are ignored; a doc_id with several
 labels counts by its greatest; without labels of both classes every score is the share of toxic labels (0 without any);
-repeated rows get equal scores.
+repeated rows get equal scores; an empty table gives no rows; only the named columns are read, so others can't clash.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 15, 16, (1, 2, 3), 12
 PER_CLASS, EPOCHS, MOST_EPOCHS, STEPS, BATCH = 3000, 4, 12, 800, 32
 FIT_CHARS = 20_000  # longer texts are not drawn for the fit, so its sample is bounded in bytes too; they are calibrated on and scored like all
@@ -136,13 +139,24 @@ def _sample(docs: DataFrame, labels: DataFrame, per_class: int, id_col: str, tex
     def hashed(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        known = Hashed()
+        known, seen = Hashed(), set()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([word_ids(t.as_py(), known) for t in b.column(1)], pa.list_(pa.int32())), b.column(2), b.column(3)], ["id", "ids", "lang", "y"])
-
-    found = rows.select("_id", "_text", "_lang", "_y").mapInArrow(hashed, "id bigint, ids array<int>, lang string, y int").toArrow()
-    ids = [np.asarray(x.values, np.int32) for x in found.column("ids")]
-    return sorted(zip(found.column("id").to_pylist(), ids, found.column("lang").to_pylist(), found.column("y").to_pylist(), strict=True), key=lambda r: (r[0], len(r[1]), r[1].tobytes()))
+            ids = [word_ids(t.as_py(), known) for t in b.column(1)]
+            keys = [(i, hashlib.sha256(np.asarray(x, np.int32).tobytes()).digest()) for i, x in zip(b.column(0).to_pylist(), ids, strict=True)]
+            fresh = []
+            for key in keys:
+                fresh.append(key not in seen)
+                seen.add(key)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), b.column(2), b.column(3)], ["id", "ids", "lang", "y"]).filter(pa.array(fresh, pa.bool_()))
+
+    # Copies of a row go on the executors, and of an id with very many texts no more than per_class rows come here.
+    found = rows.select("_id", "_text", "_lang", "_y").mapInArrow(hashed, "id bigint, ids array<int>, lang string, y int").groupBy("id", "ids").agg(F.min("lang").alias("lang"), F.max("y").alias("y"))
+    found, out = stored(found, "sample"), []
+    for c in (0, 1):
+        one = found.filter(F.col("y") == c).orderBy(F.xxhash64("id", "ids"), "id").limit(per_class).toArrow()
+        ids = [np.asarray(x.values, np.int32) for x in one.column("ids")]
+        out += zip(one.column("id").to_pylist(), ids, one.column("lang").to_pylist(), one.column("y").to_pylist(), strict=True)
+    return sorted(out, key=lambda r: (r[0], len(r[1]), r[1].tobytes()))
 
 
 def _counted(docs: DataFrame, labels: DataFrame, model: tuple, id_col: str, text_col: str, lang_col: str) -> list:
