@@ -4,7 +4,7 @@ Spans are (kind, start, end) in code points, end exclusive. Three kinds come fro
 markov, takes runs of 16 or more identifier characters whose mean log-likelihood ratio per character pair, random string
 against ordinary identifier, exceeds a cutoff. Both models are first-order chains over the same alphabet, which fall back to
 single characters' shares (add-one smoothing) where pairs are rare. Labelled samples are all of the corpus: values found by
-the patterns are random strings; runs of 8 or more characters outside of them are ordinary identifiers.
+the patterns are random strings; runs of 8 or more characters that no pattern's span touches are ordinary identifiers.
 The cutoff is set on the quarter of the runs (by hash) that the models scoring them have not seen; the final models see all. It
 lets through MOST_FALSE of the ordinary runs, unless that would miss more than MOST_MISSED of the patterns' values: then
 (some of the unlabelled runs are secrets themselves, or the two sides overlap) the misses decide. It is never below 0, where
@@ -39,6 +39,7 @@ BACK_OFF = 16
 MOST_FALSE, MOST_MISSED = 0.01, 0.05
 BINS = 100  # of a unit of score, for the cutoff
 MASK = "[SECRET]"
+MARK = "\x01"
 BLOCK = 256
 
 _SPAN = "array<struct<start:bigint,k:int,end:bigint,kind:string,value:string>>"
@@ -85,6 +86,34 @@ def with_base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     return s.select(*carried, F.sort_array(F.concat(enough, "_access", "_hex")).alias("_base"))
 
 
+def _replaced(text: Column, spans: Column, fill) -> Column:
+    """The text with fill(at, span) in place of every span; at is where the spans before it end, so that overlapping ones can be told.
+
+    Spans are taken in blocks of BLOCK: a block's stretch of the text is cut out once, and its parts are cut from that, so the work is the text's
+    length per block, not per span.
+    """
+
+    def piece(part: Column, base: Column, block: Column) -> Column:
+        zero = F.struct(base.alias("at"), F.array().cast("array<string>").alias("out"))
+        kept = lambda a, s: F.substr(part, (a["at"] - base + 1).cast("int"), F.greatest(s["start"] - a["at"], F.lit(0)).cast("int"))
+        step = lambda a, s: F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], F.array(kept(a, s), fill(a["at"], s))).alias("out"))
+        return F.aggregate(block, zero, step, lambda a: F.array_join(a["out"], ""))
+
+    def step(a: Column, block: Column) -> Column:
+        end = F.greatest(a["at"], F.array_max(F.transform(block, lambda s: s["end"])))
+        part = F.substr(text, (a["at"] + 1).cast("int"), (end - a["at"]).cast("int"))
+        return F.struct(end.alias("at"), F.concat(a["out"], F.array(_let(part, lambda p: piece(p, a["at"], block)))).alias("out"))
+
+    blocks = F.when(F.size(spans) > 0, F.transform(F.sequence(F.lit(0), F.size(spans) - 1, F.lit(BLOCK)), lambda i: F.slice(spans, i + 1, F.lit(BLOCK)))).otherwise(F.array().cast(f"array<{_SPAN}>"))
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
+    return F.aggregate(blocks, zero, step, lambda a: F.array_join(F.concat(a["out"], F.array(F.substr(text, (a["at"] + 1).cast("int"), F.length(text)))), ""))
+
+
+def _without(text: Column, spans: Column) -> Column:
+    """The text with blanks in place of the spans, so that all other places stay."""
+    return _replaced(text, spans, lambda at, s: F.rpad(F.lit(""), F.greatest(s["end"] - F.greatest(s["start"], at), F.lit(0)).cast("int"), F.lit(" ")))
+
+
 def _pairs(runs: DataFrame) -> DataFrame:
     """(random, held, pair) rows, a pair of adjacent characters each."""
     pairs = _let(F.split("run", ""), lambda c: F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), lambda a, b: F.concat(a, b)))
@@ -94,9 +123,10 @@ def _pairs(runs: DataFrame) -> DataFrame:
 def _labelled(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(random, run): the patterns' values and, outside of them, runs of ordinary identifiers; of all rows, in one pass."""
     based = with_base(docs, id_col, text_col)
-    runs = F.regexp_extract_all("_text", F.lit(RUN + "{%d,}" % MIN_ORDINARY), F.lit(0))
-    # A run that holds a pattern's value is no ordinary identifier.
-    free = F.filter(runs, lambda r: ~F.exists("_base", lambda b: r.contains(b["value"]) | b["value"].contains(r)))
+    # A run that a pattern's span is part of is no ordinary identifier: spans leave a mark, and runs beside a mark don't count.
+    marked = F.when(F.size("_base") > 0, _replaced(F.col("_text"), F.col("_base"), lambda at, s: F.lit(MARK))).otherwise(F.col("_text"))
+    beside = RUN.replace("[", "[" + MARK)
+    free = F.regexp_extract_all(marked, F.lit(f"(?<!{beside}){RUN}{{{MIN_ORDINARY},}}+(?!{MARK})"), F.lit(0))
     of = lambda runs, random: F.transform(runs, lambda r: F.struct(F.lit(random).alias("random"), r.alias("run")))
     return based.select(F.explode(F.concat(of(F.col("_base.value"), True), of(free, False))).alias("x")).select("x.random", "x.run")
 
@@ -157,15 +187,6 @@ def score(run: Column, ratios: list[float]) -> Column:
     return F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x) / (F.length(run) - 1)
 
 
-def _without(text: Column, spans: Column) -> Column:
-    """The text with blanks in place of the spans, so that all other places stay."""
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-    kept = lambda a, s: F.substr(text, (a["at"] + 1).cast("int"), F.greatest(s["start"] - a["at"], F.lit(0)).cast("int"))
-    blank = lambda a, s: F.rpad(F.lit(""), F.greatest(s["end"] - F.greatest(s["start"], a["at"]), F.lit(0)).cast("int"), F.lit(" "))
-    step = lambda a, s: F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], F.array(kept(a, s), blank(a, s))).alias("out"))
-    return F.aggregate(spans, zero, step, lambda a: F.array_join(F.concat(a["out"], F.array(F.substr(text, (a["at"] + 1).cast("int"), F.length(text)))), ""))
-
-
 def _windows(r: Column, ratios: list[float], threshold: float) -> Column:
     """Spans of the run r's joined windows of MIN_RUN characters above the threshold, widened to delimiters."""
     table, value, n = F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<double>"), r["value"], MIN_RUN - 1
@@ -221,9 +242,6 @@ def masked(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of docs, every secret in the text replaced by MASK; overlapping spans are replaced as one. Other columns stay."""
     columns = docs.columns
     found = with_spans(docs, train(docs), keep=tuple(columns))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-    kept = lambda a, s: F.substr("_text", (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int"))
-    step = lambda a, s: F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(s["start"] >= a["at"], F.concat(a["out"], F.array(kept(a, s), F.lit(MASK)))).otherwise(a["out"]).alias("out"))
-    clean = F.aggregate("_all", zero, step, lambda a: F.array_join(F.concat(a["out"], F.array(F.substr("_text", (a["at"] + 1).cast("int"), F.length("_text")))), ""))
+    clean = _replaced(F.col("_text"), F.col("_all"), lambda at, s: F.when(s["start"] >= at, MASK).otherwise(""))
     text = F.when(F.size("_all") > 0, clean).otherwise(F.col("_row")[text_col])
     return found.select(*[text.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in columns])

@@ -173,6 +173,38 @@ def test_bpe(spark):
     assert [r.ids for r in bpe.encode_texts(docs_of(spark, ["a b"]), ranks, P.PATTERN).collect()] == [own.encode_ordinary("a b")]
 
 
+def test_secrets_many_spans_in_one_text(spark):
+    """Time in proportion to the spans, and places that hold across blocks of them, overlaps included."""
+    import time
+
+    rnd = random.Random(6)
+    value = lambda: "".join(rnd.choice("abcdefghXYZ0123456789") for _ in range(8))
+    parts = [f"é token={value()} word " if rnd.random() < 0.9 else "secret=" + "0a" * 14 + " " for _ in range(16_000)]
+    text = "".join(parts)
+    model = secret_scan.train(docs_of(spark, ["token=" + value() + value(), "ordinary_identifier"]))
+    docs = docs_of(spark, [text]).select("doc_id", "text")
+    secret_scan.with_spans(docs_of(spark, ["token=abcdefg x"]), model).count()  # compiled once
+    began = time.time()
+    row = secret_scan.with_spans(docs, model).select(F.size("_base").alias("n"), secret_scan._without(F.col("_text"), F.col("_base")).alias("cut")).first()
+    assert time.time() - began < 12
+    spans = [m.span() for m in re.finditer(r"(?:token|secret)=[a-zA-Z0-9]+", text)]
+    want = list(text)
+    for a, b in spans:
+        want[a:b] = " " * (b - a)
+    assert row.n == len(spans) + text.count("secret=") and row.cut == "".join(want)
+    clean = secret_scan.masked(docs).first().text
+    assert clean.count(secret_scan.MASK) == len(spans) and "token=" not in clean and clean.startswith("é ")
+
+
+def test_toxicity_sample_is_bounded(spark):
+    """One id on half of all rows, copies and unlike texts: the sample keeps its bound."""
+    rows = [(1, f"bad words {i % 40}", "en") for i in range(400)] + [(i, f"fine words {i}", "en") for i in range(2, 60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i == 1)) for i in range(1, 60)], "_id bigint, _y int")
+    got = toxicity._sample(docs, labels, 12, "doc_id", "text", "lang")
+    assert len(got) == 24 and sum(y for *_, y in got) == 12 and len({(i, x.tobytes()) for i, x, _, _ in got}) == 24
+
+
 @pytest.mark.parametrize("leaf", [1, 2, 4, 32])
 def test_bpe_tree_at_every_leaf(monkeypatch, leaf):
     """Pieces of the table's texts and long runs; the joins do run."""
