@@ -20,10 +20,10 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAF = 4  # bytes that are merged at once
+LEAF = 8  # bytes that are merged at once
 IDS = 64  # ids whose bytes are put together at once
-WINDOW = 32  # bytes of a window that are merged at once
-CACHED = 200_000
+WINDOW = 256  # bytes of a window that are merged at once
+CACHED = 500_000  # pieces, or pairs of neighbours, that a worker remembers
 ROWS = 200  # texts whose ids are held at once
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
