@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
 from tessera.jobs.registry import query, table
-from tessera.operators import tracking
 
 
 def _logits(spark, d):
@@ -89,12 +88,6 @@ def sg_greedy_peaks(spark, d):
     return _signals(spark, d).select("vec_id", F.posexplode(C.top_peaks(F.col("s"), 4, 8)).alias("i", "place"))
 
 
-@query()
-def sg_dp_track(spark, d):
-    """Ridge of every signal's score map (a signal bent into an 8 x 8 map) by dynamic programming."""
-    return tracking.ridges(_signals(spark, d), "vec_id", "s", height=8)
-
-
 @query("""WITH b AS (SELECT user_id, quantile_cont(value, 0.5) AS base, quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM events GROUP BY 1)
 SELECT event_id, round((base - value) / 40, 6) + 0.0 AS value_mv, round(CASE WHEN hi <= lo THEN value ELSE least(greatest((value - lo) / (hi - lo) * 255, 0), 255) END, 5) AS stretched FROM events JOIN b USING (user_id)""")
 def sg_calibrate_stretch(spark, d):
@@ -113,15 +106,3 @@ def sg_center_radial(spark, d):
     c = c.withColumn("r", F.sqrt(F.aggregate(F.transform("s", lambda x: (x - F.col("m")) * (x - F.col("m"))), F.lit(0.0), lambda a, x: a + x)))
     peak = F.try_divide(F.array_max(F.transform("s", lambda x: F.abs(x - F.col("m")))), F.col("r"))
     return c.select("vec_id", F.round(peak, 6).alias("peak"), F.round(F.log1p("r"), 6).alias("log_radius"), F.round(F.exp(-F.col("r") * F.col("r") / 2), 6).alias("gauss"))
-
-
-@query("""WITH c AS (SELECT user_id, min(event_id) % 40 AS a, count(*) AS n FROM events GROUP BY 1), r AS (SELECT user_id, n, [100 + a, 200 + 2 * a, 300 + a, 420 - a] AS c, 480 + a AS h, [200 + a, 260, 240 - a] AS w FROM c)
-SELECT user_id, greatest(0, trunc(c[1] - 0.7::DOUBLE * (c[2] - c[1])))::BIGINT AS top, trunc((c[2] + c[3]) / 2)::BIGINT AS mid, least(h, trunc(c[4] + 0.7::DOUBLE * (c[4] - c[3])))::BIGINT AS bottom, round(list_sort(w)[2] / 62.5::DOUBLE, 6) AS px_per_mm FROM r""")
-def sg_row_layout(spark, d):
-    """Row bounds and scale of a page whose row centres and lead widths vary by user."""
-    c = table(spark, d, "events").groupBy("user_id").agg((F.min("event_id") % 40).alias("a"))
-    a = F.col("a")
-    r = c.select("user_id", F.array(100 + a, 200 + 2 * a, 300 + a, 420 - a).alias("c"), (480 + a).alias("h"), F.array(200 + a, F.lit(260).cast("long"), 240 - a).alias("w"))
-    r = r.withColumn("b", C.row_bounds(F.col("c"), F.col("h")))
-    at = lambda i, y: F.get("b", F.lit(i))[y].cast("long")
-    return r.select("user_id", at(0, "y0").alias("top"), at(1, "y1").alias("mid"), at(3, "y1").alias("bottom"), F.round(C.px_per_mm(F.col("w"), F.lit(None).cast("double")), 6).alias("px_per_mm"))

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from tessera.functions import clouds, grids
+from tessera.functions import columns as C
 from tessera.jobs.registry import query, table
 from tessera.operators import tracking
 
@@ -55,11 +56,15 @@ def sg_content_box(spark, d):
     return p.select("page", "box.*", most(grids.row_means(F.col("inner"), F.col("across"))).alias("most_row"), most(grids.column_sums(F.col("inner"), F.col("across"))).alias("most_column"))
 
 
-@query(f"""WITH RECURSIVE {_pages_sql(240, 12)}, r AS (SELECT user_id, y, avg(v) AS m FROM p WHERE x >= 11 GROUP BY ALL), l AS (SELECT user_id, list(m ORDER BY y) AS m FROM r GROUP BY 1), e AS (SELECT user_id, {_smooth_sql('m', 240, 5.0)} AS e FROM l),
+#: e: smoothed row means; z: the four row centres of every user's page.
+_CENTRES = f"""{_pages_sql(240, 12)}, r AS (SELECT user_id, y, avg(v) AS m FROM p WHERE x >= 11 GROUP BY ALL), l AS (SELECT user_id, list(m ORDER BY y) AS m FROM r GROUP BY 1), e AS (SELECT user_id, {_smooth_sql('m', 240, 5.0)} AS e FROM l),
 k AS (SELECT user_id, list_transform(range(1, 241), lambda i: round(CASE WHEN i <= 28 OR i > 236 THEN list_min(e) ELSE e[i] END, 9)) AS s FROM e),
 m AS (SELECT user_id, unnest(list_filter(range(2, 240), lambda i: s[i] >= s[i - 1] AND s[i] > s[i + 1])) AS i, s FROM k), o AS (SELECT user_id, i - 1 AS place, row_number() OVER (PARTITION BY user_id ORDER BY s[i] DESC, i) AS k FROM m),
 g(user_id, k, taken) AS (SELECT user_id, 0::BIGINT, []::BIGINT[] FROM k UNION ALL SELECT g.user_id, o.k, CASE WHEN len(taken) < 4 AND len(list_filter(taken, lambda t: abs(t - place) < 50)) = 0 THEN list_append(taken, place) ELSE taken END FROM g JOIN o ON o.user_id = g.user_id AND o.k = g.k + 1),
-t AS (SELECT user_id, list_sort(taken) AS t FROM g QUALIFY k = max(k) OVER (PARTITION BY user_id)), z AS (SELECT user_id, len(t) = 4 AS found, CASE WHEN len(t) = 4 THEN t ELSE [57, 111, 165, 220] END AS t FROM t)
+t AS (SELECT user_id, list_sort(taken) AS t FROM g QUALIFY k = max(k) OVER (PARTITION BY user_id)), z AS (SELECT user_id, len(t) = 4 AS found, CASE WHEN len(t) = 4 THEN t ELSE [57, 111, 165, 220] END AS t FROM t)"""
+
+
+@query(f"""WITH RECURSIVE {_CENTRES}
 SELECT user_id AS page, unnest(range(0, 4))::INT AS i, unnest(t)::INT AS centre, unnest(list_transform(t, lambda x: round(e[x + 1], 5))) AS energy FROM z JOIN e USING (user_id)""")
 def sg_row_centres(spark, d):
     """The four bands of a user's page, or evenly spaced rows, with the smoothed mean of each."""
@@ -68,6 +73,32 @@ def sg_row_centres(spark, d):
     return p.select("page", F.posexplode("c").alias("i", "centre"), "e").select("page", "i", "centre", F.round(F.get("e", F.col("centre")), 5).alias("energy"))
 
 
+@query(f"""WITH RECURSIVE {_CENTRES}, b AS (SELECT user_id, [greatest(0, trunc(t[1] - 0.7::DOUBLE * (t[2] - t[1]))), trunc((t[1] + t[2]) / 2), trunc((t[2] + t[3]) / 2), trunc((t[3] + t[4]) / 2)] AS y0,
+[trunc((t[1] + t[2]) / 2), trunc((t[2] + t[3]) / 2), trunc((t[3] + t[4]) / 2), least(240, trunc(t[4] + 0.7::DOUBLE * (t[4] - t[3])))] AS y1 FROM z)
+SELECT user_id AS page, y0[1]::BIGINT AS top, y1[2]::BIGINT AS mid, y1[4]::BIGINT AS bottom, round(list_median(list_transform(range(1, 5), lambda i: y1[i] - y0[i])) / 62.5::DOUBLE, 6) AS px_per_mm FROM b""")
+def sg_row_layout(spark, d):
+    """The bands of rows around the centres of a user's page, and the scale if each were as wide as it is high."""
+    p = _pages(spark, d, 240, 12).select("page", C.bound(grids.row_centres(F.col("values"), F.col("width")), lambda c: C.row_bounds(c, F.lit(240))).alias("b"))
+    at = lambda i, y: F.get("b", F.lit(i))[y].cast("long")
+    scale = C.px_per_mm(F.transform("b", lambda x: x["y1"] - x["y0"]), F.lit(None).cast("double"))
+    return p.select("page", at(0, "y0").alias("top"), at(1, "y1").alias("mid"), at(3, "y1").alias("bottom"), F.round(scale, 6).alias("px_per_mm"))
+
+
+_TALL, _SPAN = 24, 31 * 4
+
+
+@query(f"""WITH RECURSIVE {_pages_sql(_TALL, 6)}, l AS (SELECT user_id, x, list(v ORDER BY y) AS v FROM p GROUP BY ALL), s AS (SELECT user_id, x, list_transform({_smooth_sql('v', _TALL, 0.8)}, lambda v: round(v, 6)) AS s FROM l),
+b(user_id, x, best, came) AS (SELECT user_id, x, list_transform(range(0, {_TALL}), lambda y: s[y + 1] - 0.01::DOUBLE * (y - {_TALL // 2}) ** 2), []::BIGINT[] FROM s WHERE x = 0 UNION ALL
+SELECT user_id, x, list_transform(range(0, {_TALL}), lambda y: s[y + 1] + c[y + 1].m), list_transform(c, lambda z: z.at) FROM (SELECT s.user_id, s.x, s, list_transform(range(0, {_TALL}), lambda y: list_reduce(list_transform(range(least({_TALL - 1}, y + 10), greatest(0, y - 10) - 1, -1),
+lambda k: {{'m': best[k + 1] - 0.05::DOUBLE * abs(y - k), 'at': k}}), lambda a, z: CASE WHEN z.m > a.m THEN z ELSE a END)) AS c FROM b JOIN s ON s.user_id = b.user_id AND s.x = b.x + 1)),
+t(user_id, x, y) AS (SELECT user_id, x, list_position(best, list_max(best))::BIGINT - 1 FROM b WHERE x = {_SPAN - 1} UNION ALL SELECT t.user_id, t.x - 1, came[t.y + 1] FROM t JOIN b ON b.user_id = t.user_id AND b.x = t.x WHERE t.x > 0),
+y AS (SELECT user_id, list(y::DOUBLE ORDER BY x) AS y FROM t GROUP BY 1), z AS (SELECT user_id, {_smooth_sql('y', _SPAN, 0.8)} AS y FROM y)
+SELECT user_id AS page, unnest(range(0, {_SPAN}))::INT AS x, round(unnest(y), 4) AS y FROM z""")
+def sg_dp_track(spark, d):
+    """The line of every user's page, by dynamic programming."""
+    return tracking.ridges(_pages(spark, d, _TALL, 6), "page", "values", _TALL).withColumn("y", F.round("y", 4))
+
+
 _WIDE = 31 * 12
 _EXPECT = int(_WIDE * 0.94 / 4)
 

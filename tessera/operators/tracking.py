@@ -79,7 +79,8 @@ def smooth_tracks(maps: list[np.ndarray], centres: list[float], smooth: float) -
         for lo in range(0, len(every), step):
             own = every[lo : lo + step]
             scores = np.stack([maps[i] for i in own]).astype(float)
-            paths = track_all(blur(scores, smooth, 1) if smooth else scores, np.array([centres[i] for i in own]))
+            # Rounded, so that columns of one shape tie whatever the order their taps were added in.
+            paths = track_all(np.round(blur(scores, smooth, 1), 6) if smooth else scores, np.array([centres[i] for i in own]))
             for i, path in zip(own, blur(paths.astype(float), smooth) if smooth else paths, strict=True):
                 out[i] = path
     return out
@@ -97,13 +98,13 @@ def ridge(values: Column, width: Column, centre: Column, smooth: float = SMOOTH)
     return F.pandas_udf(run, "array<double>")(values, F.coalesce(width, F.lit(0)), F.coalesce(centre.cast("double"), F.lit(0.0)))
 
 
-def ridges(maps: DataFrame, key: str, values: str, height: int) -> DataFrame:
-    """(key, x, y): the ridge of every map, given as rows of equal width laid end to end, unsmoothed. Maps are independent: no shuffle."""
+def ridges(maps: DataFrame, key: str, values: str, height: int, smooth: float = SMOOTH) -> DataFrame:
+    """(key, x, y): the ridge of every map, given as rows of equal width laid end to end. Maps are independent: no shuffle."""
     own = maps.select(F.col(key), F.col(values).alias("_v")).filter(F.size("_v") >= height)
-    path = ridge(F.col("_v"), F.floor(F.size("_v") / height).cast("int"), F.lit(height / 2), smooth=0.0)
+    path = ridge(F.col("_v"), F.floor(F.size("_v") / height).cast("int"), F.lit(height // 2), smooth)
     # What is left over of a last row that isn't whole is cut off, or it would count as one more row.
     own = own.withColumn("_v", F.slice("_v", F.lit(1), F.floor(F.size("_v") / height).cast("int") * height))
-    return own.select(F.col(key).cast("long").alias(key), F.posexplode(path).alias("x", "y")).withColumn("y", F.col("y").cast("int"))
+    return own.select(key, F.posexplode(path).alias("x", "y"))
 
 
 def calibration_end(path: np.ndarray, px_per_mm: float) -> int:
