@@ -42,3 +42,31 @@ def padded(points: Column, n: int = 2000, axes: int = 3) -> Column:
     """n points, zeros behind those there are; null where there are more."""
     zeros = F.array(*[F.lit(0.0)] * axes)
     return F.when(F.size(points) <= n, F.concat(points.cast("array<array<double>>"), F.array_repeat(zeros, F.lit(n) - F.size(points))))
+
+
+def weighted_centre(points: Column, weights: Column) -> Column:
+    """The mean of the points by weight; the weights' sum counts as 1e-8 at least."""
+    total = F.greatest(F.aggregate(weights, F.lit(0.0), lambda s, w: s + w), F.lit(1e-8))
+    along = lambda i: F.aggregate(F.zip_with(points, weights, lambda p, w: F.get(p, i) * w), F.lit(0.0), lambda s, v: s + v)
+    return C.bound(total, lambda t: F.transform(F.sequence(F.lit(0), F.size(F.get(points, F.lit(0))) - 1), lambda i: along(i) / t))
+
+
+def radial_features(points: Column, weights: Column) -> Column:
+    """Per point a struct of its distance r from the weighted centre (1e-6 at least), the unit direction, and density, log1p(r), r squared and cubed, density
+    times r and r squared, exp(-r squared / 2)."""
+
+    def of(centre: Column) -> Column:
+        def one(p: Column, w: Column) -> Column:
+            moved = F.zip_with(p, centre, lambda a, b: a - b)
+
+            def named(m: Column) -> Column:
+                r = F.greatest(F.sqrt(F.aggregate(m, F.lit(0.0), lambda s, v: s + v * v)), F.lit(1e-6))
+                fields = lambda r: F.struct(r.alias("r"), F.transform(m, lambda v: v / r).alias("direction"), w.alias("density"), F.log1p(r).alias("log_r"), (r * r).alias("r2"), (r * r * r).alias("r3"), (w * r).alias("density_r"), (w * r * r).alias("density_r2"), F.exp(-r * r / 2).alias("gauss"))
+                return C.bound(r, fields)
+
+            return C.bound(moved, named)
+
+        return F.zip_with(points, weights, one)
+
+    none = F.array().cast("array<struct<r:double,direction:array<double>,density:double,log_r:double,r2:double,r3:double,density_r:double,density_r2:double,gauss:double>>")
+    return F.when(F.size(points) > 0, C.bound(weighted_centre(points, weights), of)).otherwise(none)

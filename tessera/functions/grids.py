@@ -144,3 +144,12 @@ def half(x: Column) -> Column:
     quantum = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.greatest(size, F.lit(2.0**-14)))), F.lit(-14)) - 10)
     finite = F.rint(x / quantum) * quantum
     return F.when(F.isnan(x) | (size == float("inf")), x).when(size >= 65520, F.signum(x) * float("inf")).otherwise(finite)
+
+
+def quad_corners(points: Column) -> Column:
+    """Upper left, upper right, lower right, lower left of an array of structs (x, y): least and greatest x + y, least and greatest y - x; of equal
+    ones the first."""
+    keyed = lambda f: F.transform(points, lambda p, i: F.struct(f(p).alias("k"), i.alias("i"), p.alias("p")))
+    least = lambda f: F.array_min(keyed(f))["p"]
+    total, slope = (lambda p: p["x"] + p["y"]), (lambda p: p["y"] - p["x"])
+    return F.array(least(total), least(slope), least(lambda p: -total(p)), least(lambda p: -slope(p)))

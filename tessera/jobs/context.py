@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
 from tessera.jobs.registry import query, table
-from tessera.operators import retrieval
+from tessera.operators import code, retrieval
 
 _PATH = "regexp_replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '^/', '')"
 _TRIM = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
@@ -258,3 +258,12 @@ def rs_best_final(spark, d):
     points, files, recents, _ = _repositories(spark, d)
     points = points.select("q", "repo", "path", F.col("text").alias("prefix"), F.lit("").alias("suffix"))
     return retrieval.best_context(points, files, recents, extension=".txt")
+
+
+@query(f"""WITH d AS (SELECT doc_id, text, {_LINES} AS l FROM documents), t AS (SELECT *, l[greatest(len(l) - 4, 1):] AS t FROM d)
+SELECT doc_id, CASE WHEN len(l) <= 5 THEN text ELSE array_to_string(t, chr(10)) END AS simple, length(CASE WHEN len(l) <= 5 THEN text ELSE array_to_string((SELECT list(x ORDER BY i) FROM (SELECT x, min(i) AS i FROM (SELECT unnest(t) AS x, unnest(range(0, len(t))) AS i) GROUP BY 1)), chr(10)) END)::BIGINT AS smart_chars,
+md5({_TRIM.format("array_to_string(l[greatest(len(l) - 19, 1):], chr(10)) || chr(10) || array_to_string(l[1:2], chr(10))")}) AS query FROM t""")
+def cr_prefix_modes(spark, d):
+    """Submission prefixes of at most five lines in two modes, and the plain query, the first two lines as suffix."""
+    text = F.col("text")
+    return table(spark, d, "documents").select("doc_id", code.submission_prefix(text, "simple", 5).alias("simple"), F.length(code.submission_prefix(text, "smart", 5)).cast("long").alias("smart_chars"), F.md5(code.plain_query(text, code.suffix_head(text, 2))).alias("query"))

@@ -106,3 +106,18 @@ def sg_center_radial(spark, d):
     c = c.withColumn("r", F.sqrt(F.aggregate(F.transform("s", lambda x: (x - F.col("m")) * (x - F.col("m"))), F.lit(0.0), lambda a, x: a + x)))
     peak = F.try_divide(F.array_max(F.transform("s", lambda x: F.abs(x - F.col("m")))), F.col("r"))
     return c.select("vec_id", F.round(peak, 6).alias("peak"), F.round(F.log1p("r"), 6).alias("log_radius"), F.round(F.exp(-F.col("r") * F.col("r") / 2), 6).alias("gauss"))
+
+
+@query("""WITH m AS (SELECT label, first(embedding ORDER BY vec_id) AS m FROM embeddings GROUP BY 1),
+x AS (SELECT vec_id, list_transform(embedding, lambda x: 1 / (1 + exp(-x::DOUBLE))) AS p, list_transform(m, lambda x: (x > 0)::INT::DOUBLE) AS y FROM embeddings JOIN m USING (label)),
+s AS (SELECT vec_id, list_sum(list_transform(list_zip(p, y), lambda z: z[1] * z[2])) AS b, list_sum(p) AS p, list_sum(y) AS y FROM x)
+SELECT vec_id, round(1 - (2 * b + 1) / (p + y + 1), 6) AS smooth, round(1 - (2 * b + 1e-6::DOUBLE) / (p + y + 1e-6::DOUBLE), 6) AS plain FROM s""")
+def ev_soft_dice_samples(spark, d):
+    """Soft Dice loss of each sample's logits against the signs of its label's first one, smoothed by 1 and by 1e-6."""
+    e = table(spark, d, "embeddings")
+    masks = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("m"))
+    x = e.join(masks, "label").select("vec_id", F.transform("embedding", lambda z: 1 / (1 + F.exp(-z.cast("double")))).alias("p"), F.transform("m", lambda z: (z > 0).cast("double")).alias("y"))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, v: s + v)
+    x = x.select("vec_id", C.dot(F.col("p"), F.col("y")).alias("b"), (total("p") + total("y")).alias("n"))
+    loss = lambda smooth: F.round(1 - (2 * F.col("b") + smooth) / (F.col("n") + smooth), 6)
+    return x.select("vec_id", loss(1.0).alias("smooth"), loss(1e-6).alias("plain"))

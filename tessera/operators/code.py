@@ -55,6 +55,46 @@ def retrieval_suffix(suffix: Column) -> Column:
     return F.when(C.strip(suffix).rlike(BRACKETS), "").otherwise(suffix)
 
 
+def suffix_of(suffix: Column, mode: str = "filtered") -> Column:
+    """filtered: nothing of a suffix that only closes brackets; none: nothing; full: all of it."""
+    if mode not in ("filtered", "none", "full"):
+        raise ValueError(f"unknown mode {mode!r}; known are filtered, none, full")
+    return {"filtered": retrieval_suffix(suffix), "none": F.when(suffix.isNotNull(), ""), "full": suffix}[mode]
+
+
+def suffix_head(suffix: Column, limit: int = 10) -> Column:
+    """The first lines of a suffix."""
+    return F.array_join(F.slice(C.lines(suffix), F.lit(1), F.lit(limit)), "\n")
+
+
+def _tail(lines: Column, limit: int) -> Column:
+    return F.when(F.size(lines) > limit, F.slice(lines, F.size(lines) - limit + 1, F.lit(limit))).otherwise(lines)
+
+
+def _at_margin(line: Column) -> Column:
+    """Whether an import stands at the margin."""
+    return line.startswith("import ") | line.startswith("from ")
+
+
+def submission_prefix(prefix: Column, mode: str = "smart", limit: int = 10) -> Column:
+    """full: the prefix as it is; simple: its last lines; smart: the import lines at the margin and the last lines, each line once. A prefix of
+    no more lines than the limit stays as it is."""
+    if mode not in ("full", "simple", "smart"):
+        raise ValueError(f"unknown mode {mode!r}; known are full, simple, smart")
+    if mode == "full":
+        return prefix
+    simple = lambda x: _tail(x, limit)
+    smart = lambda x: F.array_distinct(F.concat(F.filter(x, _at_margin), _tail(x, limit)))
+    cut = lambda x: F.when(F.size(x) <= limit, prefix).otherwise(F.array_join((simple if mode == "simple" else smart)(x), "\n"))
+    return C.bound(C.lines(prefix), cut)
+
+
+def plain_query(prefix: Column, suffix: Column, limit: int = 20) -> Column:
+    """The last code lines (imports at the margin left out) and the filtered suffix."""
+    code = C.bound(F.filter(C.lines(prefix), lambda x: ~_at_margin(x)), lambda x: F.array_join(_tail(x, limit), "\n"))
+    return C.strip(F.concat(code, F.lit("\n"), suffix_of(suffix)))
+
+
 def submission_suffix(suffix: Column, limit: int = 20) -> Column:
     """The first lines from the first one with content on; where none has, from the start."""
     lines = C.lines(suffix)

@@ -202,23 +202,24 @@ def scored_chunks(few: DataFrame, files: DataFrame, asks: DataFrame, cut: Callab
     return pairs.withColumn("_r", F.row_number().over(Window.partitionBy("q", "f").orderBy(F.desc("sim"), "pos"))).filter(F.col("_r") <= per_file).drop("_r")
 
 
-def best_context(points: DataFrame, files: DataFrame, recents: DataFrame, strategy: str = "final", most_files: int = 5, chunks_per_file: int = 3, size: int = 30, budget: int = 6000, extension: str = ".py", similarity: Similarity = TOKEN_SETS) -> DataFrame:
+def best_context(points: DataFrame, files: DataFrame, recents: DataFrame, strategy: str = "final", most_files: int = 5, chunks_per_file: int = 3, size: int = 30, budget: int = 6000, extension: str = ".py", similarity: Similarity = TOKEN_SETS, least: int = 10, tokens: str = "words_int") -> DataFrame:
     """The context of every completion point: (q, n_files, n_chunks, used, context, prefix, suffix).
 
     points (q, repo, path, prefix, suffix), files (f, repo, path, text), recents (q, f). Files are scored by the strategy on the point's
     retrieval text. The best 3 * most_files are cut into chunks; the chunks of each that are most similar to the point's scope (a file
     without chunks: the whole file, with similarity 0) enter a greedy fill of the budget, and files follow by ascending score, so that the best stand last. A point for which nothing was
-    chosen gets the nearest file of its repository, whole.
+    chosen gets the nearest file of its repository, whole. least: characters of a line that counts for the overlap; tokens: the estimate that the
+    budget is in (an earlier strategy took 5 and words_float).
     """
     texts = code.completion_texts(points, files, extension)
     imports = code.import_files(points, files, extension)
     asks = points.select("q", "repo", "path").join(texts.select("q", F.concat_ws("\n", "retrieval_prefix", "retrieval_suffix").alias("text")), "q")
-    scored = file_scores(file_signals(asks, files, recents, imports), strategy).withColumnRenamed("score", "file_score")
+    scored = file_scores(file_signals(asks, files, recents, imports, least), strategy).withColumnRenamed("score", "file_score")
     few = top(scored.select("q", "f", "path", "file_score"), "q", 3 * most_files, F.desc("file_score"), F.col("path")).drop("rank")
     # Texts come back only for the files that are left.
     cut = lambda lines: F.transform(C.sliding_chunks(lines, size), lambda x: x["text"])
     best = scored_chunks(few, files, texts.select("q", F.col("embedding_query").alias("text")), cut, chunks_per_file, similarity)
-    cost = C.token_estimates(F.col("text"))["words_int"].cast("double")
+    cost = C.token_estimates(F.col("text"))[tokens].cast("double")
     item = F.struct((-(F.col("sim") + F.col("file_score"))).alias("s"), F.col("path"), F.col("pos"), F.col("text"), F.col("file_score"), cost.alias("cost"))
     listed = best.groupBy("q").agg(F.sort_array(F.collect_list(item)).alias("items"))  # at most 3 * most_files * chunks_per_file items
     filled = listed.withColumn("fill", C.greedy_fill(F.transform("items", lambda x, i: F.struct(i.alias("pos"), x["path"].alias("file"), x["cost"].alias("cost"))), budget, most_files))

@@ -43,6 +43,23 @@ def repository(spark: SparkSession, path: str, language: str, min_lines: int = 1
     return text.withColumn("n_lines", F.size(C.lines(F.col("content")))).filter(F.col("n_lines") >= min_lines)
 
 
+IMAGES = r"(?i)\.(png|jpg|jpeg|bmp|tif|tiff|webp)$"
+
+
+def images(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+    """(path, name, size) of the images at a path: a folder's (recursive: also below it) or a pattern's files of the known endings in either
+    case, or one file of any ending. The order is that of the paths, by range; contents aren't read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path).select("path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("length").alias("size"))
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    single = not re.search(r"[*?\[{]", path) and own.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(own).isFile()
+    return (found if single else found.filter(F.col("path").rlike(IMAGES))).orderBy("path")
+
+
+def image_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(name, left, right): paths of images of one name, such as an image and its mask."""
+    return left.select("name", F.col("path").alias("left")).join(right.select("name", F.col("path").alias("right")), "name")
+
+
 def write_by_period(rows: DataFrame, path: str) -> None:
     rows.write.partitionBy("period").option("header", True).csv(path)
 

@@ -110,3 +110,15 @@ def test_by_period(spark, tmp_path):
     files.write_by_period(rows, str(tmp_path / "p"))
     assert {p.name for p in (tmp_path / "p").iterdir() if p.is_dir()} == {"period=train", "period=test", "period=__HIVE_DEFAULT_PARTITION__"}
     assert [r.deviceId for r in spark.read.option("header", True).csv(str(tmp_path / "p")).filter("period = 'test'").collect()] == ["d2"]
+
+
+def test_image_lists(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    for name in ("b.PNG", "a.jpeg", "note.txt", "sub/c.webp", "sub/a.jpeg"):
+        (tmp_path / name).write_bytes(b"x" * len(name))
+    names = lambda df: [r.name for r in df.collect()]
+    assert names(files.images(spark, str(tmp_path))) == ["a.jpeg", "b.PNG"]
+    assert names(files.images(spark, str(tmp_path), recursive=True)) == ["a.jpeg", "b.PNG", "a.jpeg", "c.webp"]
+    assert names(files.images(spark, str(tmp_path / "*.*"))) == ["a.jpeg", "b.PNG"] and names(files.images(spark, str(tmp_path / "note.txt"))) == ["note.txt"]
+    pairs = files.image_pairs(files.images(spark, str(tmp_path)), files.images(spark, str(tmp_path / "sub"))).collect()
+    assert [(r.name, r.left.endswith("/a.jpeg"), r.right.endswith("/sub/a.jpeg")) for r in pairs] == [("a.jpeg", True, True)]

@@ -1,5 +1,6 @@
 """Imports, scopes, prefixes and chunks of code on small files, against results derived by hand."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import columns as C
@@ -79,3 +80,18 @@ def test_function_chunks(spark):
     assert [len(c.split("\n")) for c in got["long"]] == [5, 60, 11]
     assert got["one"] == ["\n".join(cases["one"])] and got["empty"] == []
     assert df.select(F.size(C.sliding_chunks(F.col("lines"), 60))).count() == 5
+
+
+def test_prefix_and_suffix_modes(spark):
+    prefix = "import os\nfrom a import b\n" + "".join(f"x = {i % 3}\n" for i in range(12)) + "    import inner\n"
+    df = spark.createDataFrame([(prefix, " )]\n"), ("one\ntwo\n", "tail\nmore\n"), (None, None), ("", "")], "p string, s string")
+    lines = prefix.splitlines()
+    p, s = F.col("p"), F.col("s")
+    got = df.select(*[code.submission_prefix(p, m, 4).alias(m) for m in ("full", "simple", "smart")], code.plain_query(p, s, 3).alias("q"), code.suffix_head(s, 1).alias("h"), *[code.suffix_of(s, m).alias(f"s_{m}") for m in ("filtered", "none", "full")]).collect()
+    assert got[0].full == prefix and got[0].simple == "\n".join(lines[-4:]) and got[0].smart == "\n".join(dict.fromkeys(lines[:2] + lines[-4:]))
+    assert got[1].simple == got[1].smart == "one\ntwo\n" and got[0].q == "\n".join(lines[-3:]).strip() and got[1].q == "one\ntwo\ntail\nmore"
+    assert (got[0].s_filtered, got[1].s_filtered, got[1].s_none, got[1].s_full, got[1].h) == ("", "tail\nmore\n", "", "tail\nmore\n", "tail")
+    assert list(got[2]) == [None] * 8 and got[3].q == ""
+    for bad in (lambda: code.submission_prefix(p, "other"), lambda: code.suffix_of(s, "other")):
+        with pytest.raises(ValueError, match="known are"):
+            bad()

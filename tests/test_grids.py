@@ -164,3 +164,17 @@ def test_clouds(spark):
     c = p - p.mean(0)
     assert np.allclose(rows[0].u, c / np.linalg.norm(c, axis=1).max()) and rows[1].u == [[0, 0, 0]] * 2 and rows[2].u == []
     assert np.allclose(rows[0].n, p) and rows[0].x is None and rows[1].n[2:] == [[0, 0, 0]] * 7 and rows[3].n is None
+
+
+def test_corners_and_radial_features(spark):
+    df = spark.createDataFrame([([(9, 8), (1, 1), (8, 0), (0, 9)],)], "p array<struct<x: int, y: int>>")
+    assert [tuple(r) for r in df.select(grids.quad_corners(F.col("p"))).first()[0]] == [(1, 1), (8, 0), (9, 8), (0, 9)]
+    rnd = np.random.default_rng(2)
+    p, w = rnd.random((6, 3)) * 4, rnd.random(6)
+    df = spark.createDataFrame([(p.tolist(), w.tolist()), ([[1.0, 2.0, 3.0]], [0.0]), ([], [])], "p array<array<double>>, w array<double>")
+    rows = [r.f for r in df.select(clouds.radial_features(F.col("p"), F.col("w")).alias("f")).collect()]
+    c = p - (p * w[:, None]).sum(0) / w.sum()
+    r = np.linalg.norm(c, axis=1)
+    for got, x, n, d in zip(rows[0], c, r, w, strict=True):
+        assert np.allclose([got.r, got.density, got.log_r, got.r2, got.r3, got.density_r, got.density_r2, got.gauss], [n, d, np.log1p(n), n**2, n**3, d * n, d * n**2, np.exp(-n * n / 2)]) and np.allclose(got.direction, x / n)
+    assert rows[1][0].r == pytest.approx(np.sqrt(14)) and rows[2] == []
