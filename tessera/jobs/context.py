@@ -267,3 +267,14 @@ def cr_prefix_modes(spark, d):
     """Submission prefixes of at most five lines in two modes, and the plain query, the first two lines as suffix."""
     text = F.col("text")
     return table(spark, d, "documents").select("doc_id", code.submission_prefix(text, "simple", 5).alias("simple"), F.length(code.submission_prefix(text, "smart", 5)).cast("long").alias("smart_chars"), F.md5(code.plain_query(text, code.suffix_head(text, 2))).alias("query"))
+
+
+@query(f"""WITH l AS (SELECT doc_id, list_sort(list_distinct(list_filter(list_transform({_LINES}, lambda x: {_TRIM.format('x')}), lambda x: length(x) >= 10))) AS l FROM documents), m AS (SELECT doc_id, l, min(doc_id) OVER (PARTITION BY l) AS rep FROM l),
+r AS (SELECT rep, len(l) AS n, unnest(l) AS x FROM m WHERE doc_id = rep), b AS (SELECT p.rep AS a, q.rep AS b, count(*) / (p.n + q.n - count(*))::DOUBLE AS iou FROM r p JOIN r q ON p.x = q.x AND p.rep <> q.rep GROUP BY p.rep, q.rep, p.n, q.n HAVING iou >= 0.5),
+s AS (SELECT a AS rep, count(*) AS n, max(iou) AS most FROM b GROUP BY 1) SELECT doc_id, rep, coalesce(n, 0)::BIGINT AS n_similar, round(coalesce(most, 0), 9) AS most FROM m LEFT JOIN s USING (rep)""")
+def cr_similar_files(spark, d):
+    """Every document's representative by its set of long lines, and how many other sets overlap it by half or more."""
+    members, pairs = retrieval.similar_files(table(spark, d, "documents"), 0.5, "doc_id")
+    ends = pairs.select(F.col("a").alias("rep"), "iou").unionByName(pairs.select(F.col("b").alias("rep"), "iou"))
+    found = ends.groupBy("rep").agg(F.count("*").alias("n"), F.max("iou").alias("most"))
+    return members.join(found, "rep", "left").select(F.col("f").alias("doc_id"), "rep", F.coalesce("n", F.lit(0)).cast("long").alias("n_similar"), F.round(F.coalesce("most", F.lit(0.0)), 9).alias("most"))

@@ -59,6 +59,38 @@ def shared_lines(files: DataFrame, key: str = "id", text: str = "text", least: i
     return both.select("a", "b", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("iou"))
 
 
+def similar_files(files: DataFrame, limit: float = 0.5, key: str = "id", text: str = "text", least: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Files whose sets of long lines are alike: members (f, rep), the least file of the same set of lines, and pairs (a, b, iou) of such
+    representatives, a < b, of overlap ``limit`` or more.
+
+    Lines are ordered rarest first. Two sets of that overlap share a line among the first n - ceil(limit * n) + 1 of each, so only these meet: a line that
+    is in most files stands last and is nobody's prefix but that of files that have little else. Equal sets meet once. A pair that sizes and
+    places rule out is dropped in the join; what is left is looked at on the sets. Sets travel as hashes.
+
+    Nulls and edges: a null text is the empty one; files without long lines are one set and in no pair; a line counts once in a file.
+    """
+    lines = F.sort_array(F.transform(C.long_lines(F.coalesce(F.col(text), F.lit("")), least), lambda x: F.xxhash64(x)))
+    sets = files.select(F.col(key).alias("f"), lines.alias("lines")).withColumn("digest", F.sha2(F.array_join("lines", ","), 256))
+    reps = sets.groupBy("digest").agg(F.min("f").alias("rep"))
+    members = sets.select("f", "digest").join(reps, "digest").select("f", "rep")
+    # Each set once, from the row of its representative.
+    own = stored(sets.join(reps, "digest").filter("f = rep").select("rep", "lines").dropDuplicates(["rep"]), "sets")
+    rows = own.select("rep", F.explode("lines").alias("line"))
+    placed = rows.join(rows.groupBy("line").agg(F.count("*").alias("df")), "line")
+    ordered = placed.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "line"))).alias("x"))  # a file's own lines
+    n = F.size("x")
+    post = ordered.select("rep", n.alias("n"), F.posexplode(F.slice("x", F.lit(1), n - F.ceil(limit * n).cast("int") + 1)).alias("place", "p"))
+    post = stored(post.filter("p.df > 1").select("p.line", "rep", "n", "place"), "prefixes")
+    one, two = (lambda c: F.col(f"one.{c}")), (lambda c: F.col(f"two.{c}"))
+    least_both = F.ceil(limit / (1 + limit) * (one("n") + two("n")) - 1e-9)  # lines that must be shared
+    room = F.least(one("n") - one("place"), two("n") - two("place")) + F.least(one("place"), two("place"))
+    near = (one("rep") < two("rep")) & (F.least(one("n"), two("n")) >= limit * F.greatest(one("n"), two("n"))) & (room >= least_both)
+    found = post.alias("one").join(post.alias("two"), one("line") == two("line")).filter(near).select(one("rep").alias("a"), two("rep").alias("b")).distinct()
+    side = lambda c: own.select(F.col("rep").alias(c), F.col("lines").alias(f"{c}_lines"))
+    both = found.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.size(F.array_intersect("a_lines", "b_lines")).alias("both"), (F.size("a_lines") + F.size("b_lines")).alias("all"))
+    return members, both.select("a", "b", (F.col("both") / (F.col("all") - F.col("both"))).alias("iou")).filter(F.col("iou") >= limit)
+
+
 def bm25(queries: DataFrame, files: DataFrame, k1: float = K1, b: float = B, repo: str | None = None) -> DataFrame:
     """(q, f, score): Okapi BM25 of query texts against files that share a term. queries (q, text), files (f, text); with ``repo`` both carry
     that key, queries meet their own repository only, and frequencies and lengths are the repository's.

@@ -163,3 +163,23 @@ def test_smart_context(spark):
     assert "pkg/tools.py" in r.context and r.n_files == 4  # one candidate only: all others come behind it
     r = ensembles.smart_context(points, files, one, asks, size=10, most_files=1).collect()[0]
     assert r.n_files == 1
+
+
+@pytest.mark.parametrize("limit", [0.5, 0.7, 0.3])
+def test_similar_files(spark, limit):
+    """Against all pairs, with copies, a line that all share, and files near the limit."""
+    rnd = random.Random(4)
+    pool = [f"line number {i}" for i in range(60)]
+    sets = []
+    for _ in range(12):
+        base = rnd.sample(pool, rnd.randrange(2, 14))
+        sets += [base] + [[x for x in base if rnd.random() < 0.8] + rnd.sample(pool, rnd.randrange(3)) for _ in range(5)]
+    sets = [["a line that all share", *s] for s in sets] + [[], [], sets[0]]
+    texts = [(i, "\n".join(rnd.sample(s, len(s)))) for i, s in enumerate(sets)] + [(900, None), (901, "short")]
+    members, pairs = retrieval.similar_files(spark.createDataFrame(texts, "id bigint, text string"), limit)
+    own = {i: frozenset(x.strip() for x in (t or "").split("\n") if len(x.strip()) >= 10) for i, t in texts}
+    rep = {i: min(j for j in own if own[j] == own[i]) for i in own}
+    assert {r.f: r.rep for r in members.collect()} == rep
+    reps = sorted(set(rep.values()))
+    want = {(a, b): len(own[a] & own[b]) / len(own[a] | own[b]) for a in reps for b in reps if a < b and own[a] and own[b] and len(own[a] & own[b]) / len(own[a] | own[b]) >= limit}
+    assert {(r.a, r.b): pytest.approx(r.iou) for r in pairs.collect()} == want and len(want) > 5
