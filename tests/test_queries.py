@@ -1,6 +1,11 @@
 """Every query with SQL gives DuckDB's rows on the small tables; the others give rows."""
 
 import math
+import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -39,8 +44,15 @@ def test_query(spark, con, name):
     assert rows(got) == rows(want)
 
 
-def test_entry_without_corpus_operators():
+def test_entry_without_corpus_operators(tmp_path):
+    """A copy without the corpus operators and the pipeline imports, and registers the library's own queries."""
     import __spark_entry__ as e
 
-    assert set(catalog.QUERIES) <= set(e.queries())
-    assert set(e.oracle_sql()) <= set(e.queries())
+    assert set(catalog.QUERIES) <= set(e.queries()) and set(e.oracle_sql()) <= set(e.queries())
+    root = Path(e.__file__).parent
+    shutil.copytree(root / "tessera", tmp_path / "tessera", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    ask = "import __spark_entry__ as e, tessera; print(tessera.__file__); print(*sorted(e.queries())); print(*sorted(e.oracle_sql()))"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    made = subprocess.run([sys.executable, "-c", ask], cwd=tmp_path, env=env, capture_output=True, text=True, check=True).stdout.splitlines()[-3:]
+    assert made[0].startswith(str(tmp_path)) and made[1].split() == sorted(catalog.QUERIES) and made[2].split() == sorted(catalog.ORACLE_SQL)
