@@ -1,4 +1,4 @@
-"""Context retrieval queries: documents stand for repository files (repository: lang; path: lang/source/doc_id.txt)."""
+"""Context retrieval queries: documents stand for the files of repositories."""
 
 from __future__ import annotations
 
@@ -191,23 +191,25 @@ def rs_recent_first(spark, d):
 
 
 def _repositories(spark, d):
-    """Points (the first document of every language), files, recents and imports: a language is a repository, a source a folder."""
-    docs = table(spark, d, "documents").select(F.col("lang").alias("repo"), F.col("doc_id").alias("f"), F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), "text")
-    points = docs.groupBy("repo").agg(F.min("f").alias("q")).join(docs.select(F.col("f").alias("q"), "path", "text"), "q")
-    own = points.select("q", "repo").join(docs.select("repo", "f", "path"), "repo")
-    recents = own.join(table(spark, d, "labels").filter("quality = 1").select(F.col("doc_id").alias("f")), "f", "left_semi").select("q", "f")
-    return points, docs, recents, own.filter("f % 97 = 5").select("q", "path")
+    """Points (q, repo, path, text), files (f, repo, path, text), recents (q, f), imports (q, path): (lang, source) is a repository, the first document of
+    each its completion point. Labels stand for the editor's state: quality 1 for recent files, toxic 1 for imported ones."""
+    docs = table(spark, d, "documents").select(F.concat_ws("/", "lang", "source").alias("repo"), F.col("doc_id").alias("f"), F.format_string("m%d/%d.txt", F.col("doc_id") % 4, F.col("doc_id")).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+    first = docs.groupBy("repo").agg(F.min("f").alias("q"))
+    points = first.join(docs.select(F.col("f").alias("q"), "path", "text"), "q")
+    own = first.join(docs.select("repo", "f", "path"), "repo")
+    marked = lambda label: own.join(table(spark, d, "labels").filter(f"{label} = 1").select(F.col("doc_id").alias("f")), "f", "left_semi")
+    return points, docs, marked("quality").select("q", "f"), marked("toxic").select("q", "path")
 
 
-_SIGNALS = f"""d AS (SELECT lang AS repo, doc_id AS f, source || '/' || doc_id || '.txt' AS path, source AS folder, text, list_distinct(list_filter(list_transform({_LINES}, lambda x: {_TRIM.format('x')}), lambda x: length(x) >= 10)) AS l FROM documents),
+_SIGNALS = f"""d AS (SELECT lang || '/' || source AS repo, doc_id AS f, 'm' || doc_id % 4 || '/' || doc_id || '.txt' AS path, doc_id % 4 AS folder, text, list_distinct(list_filter(list_transform({_LINES}, lambda x: {_TRIM.format('x')}), lambda x: length(x) >= 10)) AS l FROM documents),
 p AS (SELECT repo, f AS q, path AS own, folder AS home, text, l AS pl FROM d WHERE f IN (SELECT min(f) FROM d GROUP BY repo)),
 t AS (SELECT repo, f, unnest({_TOKENS}) AS term FROM d), tf AS (SELECT repo, f, term, count(*) AS tf FROM t GROUP BY ALL), len AS (SELECT repo, f, len({_TOKENS}) AS len FROM d),
 st AS (SELECT repo, count(*) AS n, avg(len) AS mean FROM len GROUP BY 1), df AS (SELECT repo, term, ln((n - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM tf JOIN st USING (repo) GROUP BY repo, term, n),
 fl AS (SELECT repo, avg(idf) * 0.25::DOUBLE AS floor FROM df GROUP BY 1), idf AS (SELECT repo, term, CASE WHEN idf < 0 THEN floor ELSE idf END AS idf FROM df JOIN fl USING (repo)),
 a AS (SELECT repo, q, unnest({_TOKENS}) AS term FROM p), qt AS (SELECT repo, q, term, count(*) AS times FROM a GROUP BY ALL),
 b AS (SELECT q, f, sum(times * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean))) AS score FROM qt JOIN idf USING (repo, term) JOIN tf USING (repo, term) JOIN len USING (repo, f) JOIN st USING (repo) GROUP BY ALL),
-g AS (SELECT q, d.f, path, len(list_intersect(pl, l)) AS k, len(pl) + len(l) AS u, CASE WHEN home = folder THEN 2 ELSE 4 END AS dist, d.f % 97 = 5 AS is_import, d.f IN (SELECT doc_id FROM labels WHERE quality = 1) AS is_recent, folder, p.repo FROM p JOIN d ON p.repo = d.repo AND own <> path),
-r AS (SELECT repo, list(DISTINCT folder) AS folders FROM d WHERE f % 97 = 5 GROUP BY 1),
+g AS (SELECT q, d.f, path, len(list_intersect(pl, l)) AS k, len(pl) + len(l) AS u, CASE WHEN home = folder THEN 2 ELSE 4 END AS dist, d.f IN (SELECT doc_id FROM labels WHERE toxic = 1) AS is_import, d.f IN (SELECT doc_id FROM labels WHERE quality = 1) AS is_recent, folder, p.repo FROM p JOIN d ON p.repo = d.repo AND own <> path),
+r AS (SELECT repo, list(DISTINCT folder) AS folders FROM d WHERE f IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY 1),
 h AS (SELECT q, g.f, path, coalesce(k / nullif(u - k, 0)::DOUBLE, 0) AS iou, dist, CASE WHEN is_import THEN 0 WHEN folders IS NULL THEN 2 WHEN list_contains(folders, folder) THEN 2 ELSE 4 END AS ref_dist, is_import, is_recent, coalesce(score, 0) AS score FROM g LEFT JOIN r USING (repo) LEFT JOIN b USING (q, f)),
 o AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score) AS i, count(*) OVER (PARTITION BY q) AS n FROM h), w AS (SELECT q, max(CASE WHEN i = greatest(trunc(n * 0.95::DOUBLE)::BIGINT - 1, 0) + 1 THEN score END) AS p95, max(score) AS top FROM o GROUP BY q),
 s AS (SELECT h.*, coalesce(score / nullif(top, 0), 0) AS bm25, least(score / CASE WHEN p95 = 0 THEN 1.0 ELSE p95 END, 1.0) AS bm25_p95, 1 / (dist + 1.0::DOUBLE) AS near, 1 / (ref_dist + 1.0::DOUBLE) AS ref FROM h JOIN w USING (q))"""

@@ -1,14 +1,10 @@
-"""Two-stage retrieval queries: documents stand for files, (lang, source) for a repository, the first document of each for its completion point.
-
-Labels stand for the editor's state: quality 1 for recent files, toxic 1 for imported ones.
-"""
+"""Two-stage retrieval queries, over the repositories of the context queries."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions import columns as C
-from tessera.jobs.context import _LINES, _TOKENS, _TRIM
+from tessera.jobs.context import _LINES, _TOKENS, _TRIM, _repositories
 from tessera.jobs.registry import query, table
 from tessera.operators import code, ensembles
 from tessera.operators.retrieval import encoded, hashed_tokens
@@ -16,16 +12,6 @@ from tessera.operators.retrieval import encoded, hashed_tokens
 CHUNK, PER_FILE, FILES, BUDGET = 6, 3, 5, 1200
 
 
-def _projects(spark, d):
-    """Points (q, repo, path, text), files (f, repo, path, text), recents (q, f), imports (q, path)."""
-    docs = table(spark, d, "documents").select(F.concat_ws("/", "lang", "source").alias("repo"), F.col("doc_id").alias("f"), F.format_string("m%d/%d.txt", F.col("doc_id") % 4, F.col("doc_id")).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
-    first = docs.groupBy("repo").agg(F.min("f").alias("q"))
-    points = first.join(docs.select(F.col("f").alias("q"), "path", "text"), "q")
-    own = first.join(docs.select("repo", "f", "path"), "repo")
-    marked = lambda label: own.join(table(spark, d, "labels").filter(f"{label} = 1").select(F.col("doc_id").alias("f")), "f", "left_semi")
-    return points, docs, marked("quality").select("q", "f"), marked("toxic").select("q", "path")
-
-
 _D = f"""d AS (SELECT lang || '/' || source AS repo, doc_id AS f, 'm' || doc_id % 4 || '/' || doc_id || '.txt' AS path, doc_id % 4 AS folder, text,
 list_distinct(list_filter(list_transform({_LINES}, lambda x: {_TRIM.format('x')}), lambda x: length(x) >= 10)) AS l, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS is_recent, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS is_import FROM (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents)),
 p AS (SELECT repo, f AS q, path AS own, folder AS home, text, l AS pl FROM d QUALIFY f = min(f) OVER (PARTITION BY repo))"""
@@ -77,7 +63,7 @@ SELECT q, c.n AS n_files, (SELECT sum(n) FROM y WHERE y.q = c.q)::BIGINT AS n_ch
 
 
 def _ensemble(spark, d, kind):
-    points, files, recents, imports = _projects(spark, d)
+    points, files, recents, imports = _repositories(spark, d)
     anchors = code.anchors(points.withColumn("prefix", F.col("text")), files, imports, ".txt")
     made = ensembles.ensemble_context(points.withColumn("embedding_query", F.col("text")), files, recents, imports, anchors, kind, CHUNK, PER_FILE, FILES, BUDGET)
     return made.select("q", "n_files", "n_chunks", "charged", "used", F.md5("context").alias("digest"))
@@ -108,7 +94,7 @@ e AS (SELECT q, used, files FROM g QUALIFY i = max(i) OVER (PARTITION BY q)), x
 SELECT q, len(files)::BIGINT AS n_files, sum(n)::BIGINT AS n_chunks, used::BIGINT AS used, md5(string_agg('<|file_sep|>' || path || chr(10) || text, '' ORDER BY list_position(files, path))) AS digest FROM x JOIN e USING (q) GROUP BY q, files, used""")
 def rs_smart_multi(spark, d):
     """The best chunks over imported files and recent ones, latest first; other files behind them where these are fewer than two."""
-    points, files, recents, imports = _projects(spark, d)
+    points, files, recents, imports = _repositories(spark, d)
     own = points.select("q", F.col("path").alias("own"))
     first = imports.join(files.select("f", "path"), "path").select("q", "path", F.lit(0).alias("tier"), F.col("f").alias("pos"))
     then = recents.join(files.select("f", "path"), "f").select("q", "path", F.lit(1).alias("tier"), (-F.col("f")).alias("pos"))
