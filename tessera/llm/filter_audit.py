@@ -23,7 +23,7 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, words
+from .common import Scratch, stored, words
 
 FILTERS = "ABCDE"
 GRAND = (1 << len(FILTERS)) - 1
@@ -51,21 +51,27 @@ def labelled(labels: DataFrame, id_col: str = "doc_id", good_col: str = "quality
     return one.groupBy("_id").agg(F.max("good").alias("good"), F.max("toxic").alias("toxic"))
 
 
-def profile(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
-    """(part, mask, n, good, toxic): documents by the set of filters they fail, at most 32 rows a part.
+def profile(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(part, mask, n, good, toxic), stored: documents by the set of filters they fail, at most 32 rows a part. Tables written on the way are deleted.
 
     Texts are read once and don't travel. Both joins are of plainly shuffled rows, so that adaptive execution can split a hot text or id.
     """
-    rows = scratch.stored(failures(docs), "failures")
-    copies = rows.groupBy("digest").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1 and _first is not null")
-    copies = scratch.stored(copies.select(F.col("digest").alias("_digest"), "_first"), "copies")
-    known = scratch.stored(labelled(labels), "labelled")
-    marked = rows.join(copies, F.col("digest") == F.col("_digest"), "left")
-    copy = F.coalesce(F.col("doc_id") > F.col("_first"), F.lit(False))
-    # Rows without an id have no labels; a random key of their own keeps them from meeting in one task.
-    marked = marked.select("part", (F.col("mask") + F.when(copy, 1 << FILTERS.index("E")).otherwise(0)).alias("mask"), "doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("digest", F.monotonically_increasing_id())).otherwise(0).alias("_spread"))
-    found = marked.join(known.withColumn("_zero", F.lit(0).cast("long")), (F.col("doc_id") == F.col("_id")) & (F.col("_spread") == F.col("_zero")), "left")
-    return found.groupBy("part", "mask").agg(F.count("*").alias("n"), *[F.count_if(F.coalesce(g, F.lit(False))).alias(g) for g in GAMES[1:]])
+    scratch = Scratch(docs.sparkSession)
+    try:
+        rows = scratch.stored(failures(docs), "failures")
+        copies = rows.groupBy("digest").agg(F.min("doc_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1 and _first is not null")
+        copies = scratch.stored(copies.select(F.col("digest").alias("_digest"), "_first"), "copies")
+        known = scratch.stored(labelled(labels), "labelled")
+        marked = rows.join(copies, F.col("digest") == F.col("_digest"), "left")
+        copy = F.coalesce(F.col("doc_id") > F.col("_first"), F.lit(False))
+        # Rows without an id have no labels; a random key of their own keeps them from meeting in one task.
+        spread = F.when(F.col("doc_id").isNull(), F.xxhash64("digest", F.monotonically_increasing_id())).otherwise(0)
+        marked = marked.select("part", (F.col("mask") + F.when(copy, 1 << FILTERS.index("E")).otherwise(0)).alias("mask"), "doc_id", spread.alias("_spread"))
+        found = marked.join(known.withColumn("_zero", F.lit(0).cast("long")), (F.col("doc_id") == F.col("_id")) & (F.col("_spread") == F.col("_zero")), "left")
+        counts = found.groupBy("part", "mask").agg(F.count("*").alias("n"), *[F.count_if(F.coalesce(g, F.lit(False))).alias(g) for g in GAMES[1:]])
+        return stored(counts, "profile")
+    finally:
+        scratch.drop()
 
 
 def worths(game: str) -> Column:
@@ -85,7 +91,7 @@ def potentials(worth: Column) -> Column:
 
 def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per part, order of the filters and step: kept, removed, redundant, unique_fails, good_lost, toxic_lost and shapley."""
-    counts = profile(docs, labels, Scratch(docs.sparkSession))
+    counts = profile(docs, labels)
     parts = counts.groupBy("part").agg(F.collect_list(F.struct("mask", *GAMES)).alias("counts"))
     bits = [F.lit(1 << i) for i in range(len(FILTERS))]
 
