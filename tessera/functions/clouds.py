@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,20 +10,26 @@ from tessera.functions import columns as C
 
 def dense(indices: Column, values: Column, shape: Column) -> Column:
     """The grid of that shape, row-major, with the values at their places and zeros elsewhere; of two values at one place the later stays. Null
-    if any argument is; a place outside the grid is an error."""
-
-    def run(indices: pd.Series, values: pd.Series, shape: pd.Series) -> pd.Series:
-        def one(at, v, s):
-            if at is None or v is None or s is None:
-                return None
-            grid = np.zeros(tuple(int(x) for x in s))
-            if len(at):
-                grid[tuple(np.stack([np.asarray(p, int) for p in at]).T)] = v
-            return grid.ravel()
-
-        return pd.Series([one(*x) for x in zip(indices, values, shape, strict=True)])
-
-    return F.pandas_udf(run, "array<double>")(indices, values, shape)
+    if any argument is; a place outside the grid is an error. Runs of zeros are laid between the values in order of place, one row at a time."""
+
+    def flat(place: Column, s: Column) -> Column:
+        inside = (F.size(place) == F.size(s)) & F.forall(F.zip_with(place, s, lambda i, n: F.coalesce((i >= 0) & (i < n), F.lit(False))), lambda ok: ok)
+        at = F.aggregate(F.zip_with(place, s, lambda i, n: F.struct(i.cast("int").alias("i"), n.cast("int").alias("n"))), F.lit(0), lambda a, x: a * x["n"] + x["i"])
+        return F.when(inside, at).otherwise(F.raise_error(F.lit("a place lies outside the grid")).cast("int"))
+
+    def laid(cells: Column, total: Column) -> Column:
+        end = lambda i: F.coalesce(F.get(cells, i)["at"], total)
+        zeros = lambda n: F.array_repeat(F.lit(0.0), n)
+        # A cell, and the zeros up to the next; of equal places only the last has any length.
+        parts = F.transform(cells, lambda c, i: F.when(end(i + 1) > c["at"], F.concat(F.array(c["v"]), zeros(end(i + 1) - c["at"] - 1))).otherwise(zeros(F.lit(0))))
+        return F.concat(zeros(end(F.lit(0))), F.flatten(parts))
+
+    def grid(s: Column) -> Column:
+        total = F.aggregate(s, F.lit(1), lambda a, n: a * n.cast("int"))
+        cells = F.sort_array(F.zip_with(F.transform(indices, lambda p, i: F.struct(flat(p, s).alias("at"), i.alias("i"))), values.cast("array<double>"), lambda c, v: F.struct(c["at"].alias("at"), c["i"].alias("i"), v.alias("v"))))
+        return C.bound(total, lambda n: C.bound(cells, lambda c: laid(c, n)))
+
+    return F.when(indices.isNotNull() & values.isNotNull() & shape.isNotNull(), C.bound(shape, grid))
 
 
 def unit_sphere(points: Column) -> Column:

@@ -31,20 +31,20 @@ def height(values: Column, width: Column | int) -> Column:
 def row_means(values: Column, width: Column | int, x0: Column | int = 0) -> Column:
     """The mean of every row from column x0 on."""
     w, x0 = _int(width), _int(x0)
-    return F.transform(_range(F.lit(0), height(values, w)), lambda y: _sum(F.slice(values, y * w + x0 + 1, w - x0)) / (w - x0))
+    return C.bound(values, lambda v: F.transform(_range(F.lit(0), height(v, w)), lambda y: _sum(F.slice(v, y * w + x0 + 1, w - x0)) / (w - x0)))
 
 
 def column_sums(values: Column, width: Column | int, y0: Column | int = 0, y1: Column | None = None, x0: Column | int = 0) -> Column:
     """The sum over rows y0 to y1 - 1 of every column from x0 on. Rows are added to each other whole, so each cell is read once."""
     w, x0 = _int(width), _int(x0)
-    rows = _range(_int(y0), height(values, w) if y1 is None else y1)
-    return F.aggregate(rows, F.array_repeat(F.lit(0.0), w - x0), lambda s, y: F.zip_with(s, F.slice(values, y * w + x0 + 1, w - x0), lambda a, b: a + b))
+    rows = lambda v: _range(_int(y0), height(v, w) if y1 is None else y1)
+    return C.bound(values, lambda v: F.aggregate(rows(v), F.array_repeat(F.lit(0.0), w - x0), lambda s, y: F.zip_with(s, F.slice(v, y * w + x0 + 1, w - x0), lambda a, b: a + b)))
 
 
 def crop(values: Column, width: Column | int, box: Column) -> Column:
     """The cells within a struct (x0, y0, x1, y1), as a map of width x1 - x0."""
     w = _int(width)
-    return F.flatten(F.transform(_range(box["y0"], box["y1"]), lambda y: F.slice(values, y * w + box["x0"] + 1, box["x1"] - box["x0"])))
+    return C.bound(values, lambda v: F.flatten(F.transform(_range(box["y0"], box["y1"]), lambda y: F.slice(v, y * w + box["x0"] + 1, box["x1"] - box["x0"]))))
 
 
 def content_box(values: Column, width: Column | int, below: float = 245, pad: int = 8, share: float = 0.01) -> Column:

@@ -23,7 +23,8 @@ def _pages(spark, d, rows: int, hours: int, key: str = "user_id"):
     cells = e.select(F.col(key).alias("page"), x.cast("int").alias("x"), y.cast("int").alias("y")).filter("x is not null and y is not null").groupBy("page", "x", "y").agg(F.least(F.lit(255.0), 64.0 * F.count("*")).alias("v"))
     listed = cells.groupBy("page").agg(F.collect_list(F.struct("y", "x", "v")).alias("c"))  # rows * width at most
     grid = clouds.dense(F.transform("c", lambda c: F.array(c["y"], c["x"])), F.transform("c", lambda c: c["v"]), F.array(F.lit(rows), F.lit(width)))
-    return listed.select("page", grid.alias("values"), F.lit(width).alias("width"))
+    # A generator lays each map once: a plain column would be computed anew in filters and expressions that name it.
+    return listed.select("page", F.explode_outer(F.array(grid)).alias("values"), F.lit(width).alias("width"))
 
 
 def _pages_sql(rows: int, hours: int) -> str:
@@ -70,7 +71,7 @@ def sg_row_centres(spark, d):
     """The four bands of a user's page, or evenly spaced rows, with the smoothed mean of each."""
     v, w = F.col("values"), F.col("width")
     p = _pages(spark, d, 240, 12).select("page", grids.row_centres(v, w).alias("c"), grids.gaussian(grids.row_means(v, w, F.floor(w * 0.18).cast("int")), 5.0).alias("e"))
-    return p.select("page", F.posexplode("c").alias("i", "centre"), "e").select("page", "i", "centre", F.round(F.get("e", F.col("centre")), 5).alias("energy"))
+    return p.select("page", F.posexplode_outer("c").alias("i", "centre"), "e").select("page", "i", "centre", F.round(F.get("e", F.col("centre")), 5).alias("energy"))
 
 
 @query(f"""WITH RECURSIVE {_CENTRES}, b AS (SELECT user_id, [greatest(0, trunc(t[1] - 0.7::DOUBLE * (t[2] - t[1]))), trunc((t[1] + t[2]) / 2), trunc((t[2] + t[3]) / 2), trunc((t[3] + t[4]) / 2)] AS y0,

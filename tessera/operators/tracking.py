@@ -18,7 +18,7 @@ LONG = "II_long"
 SHORT_S, LONG_S, RATE = 2.5, 10.0, 500
 MM_PER_S, MM_PER_MV = 25.0, 10.0
 SMOOTH = 0.8
-CELLS = 4_000_000  # comparisons held at once
+CELLS = 1_000_000  # comparisons, or cells of maps, held at once
 
 
 def blur(a: np.ndarray, sigma: float, axis: int = -1) -> np.ndarray:
@@ -74,8 +74,8 @@ def smooth_tracks(maps: list[np.ndarray], centres: list[float], smooth: float) -
     for i, m in enumerate(maps):
         if m.size:
             shapes.setdefault(m.shape, []).append(i)
-    for (h, _), every in shapes.items():
-        step = max(1, CELLS // (h * (2 * max(10, min(28, h // 5)) + 1)))
+    for (h, w), every in shapes.items():
+        step = max(1, CELLS // (h * max(w, 2 * max(10, min(28, h // 5)) + 1)))
         for lo in range(0, len(every), step):
             own = every[lo : lo + step]
             scores = np.stack([maps[i] for i in own]).astype(float)

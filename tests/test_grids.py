@@ -178,3 +178,27 @@ def test_corners_and_radial_features(spark):
     for got, x, n, d in zip(rows[0], c, r, w, strict=True):
         assert np.allclose([got.r, got.density, got.log_r, got.r2, got.r3, got.density_r, got.density_r2, got.gauss], [n, d, np.log1p(n), n**2, n**3, d * n, d * n**2, np.exp(-n * n / 2)]) and np.allclose(got.direction, x / n)
     assert rows[1][0].r == pytest.approx(np.sqrt(14)) and rows[2] == []
+
+
+def test_maps_are_laid_without_python_and_once(spark):
+    """No batch of maps passes through Python, a place outside is an error, and no filter or expression lays a map anew."""
+    from tessera.jobs import signals
+
+    df = spark.createDataFrame([([[1, 1], [0, 2], [1, 1]], [2.0, 3.0, 5.0])], "i array<array<int>>, v array<double>").select(clouds.dense(F.col("i"), F.col("v"), F.array(F.lit(2), F.lit(3))).alias("g"))
+    assert df.first().g == [0, 0, 3, 0, 5, 0] and "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    for place in ([2, 0], [-1, 0], [0, 3], [0]):
+        with pytest.raises(Exception, match="outside the grid"):
+            spark.createDataFrame([([place], [1.0])], "i array<array<int>>, v array<double>").select(clouds.dense(F.col("i"), F.col("v"), F.array(F.lit(2), F.lit(3)))).collect()
+    for query in (signals.sg_row_centres, signals.sg_row_layout, signals.sg_column_width, signals.sg_content_box):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "Python" not in plan and plan.count("outside the grid") == 1
+
+
+def test_tracks_hold_few_maps_at_once(monkeypatch):
+    """Wide flat maps: what is held is bounded in cells, not in comparisons alone; the paths are the same."""
+    held = []
+    whole = tracking.track_all
+    monkeypatch.setattr(tracking, "track_all", lambda scores, *a: held.append(scores.size) or whole(scores, *a))
+    maps = list(np.random.default_rng(4).random((300, 3, 4000)))
+    got = tracking.smooth_tracks(maps, [1] * 300, 0.0)
+    assert max(held) <= tracking.CELLS and all(np.array_equal(p, tracking.track(m, 1)) for p, m in zip(got[::50], maps[::50], strict=True))
