@@ -34,7 +34,7 @@ def ts_engineered_features(spark, d):
     of = {"t3": "l_discount", "t4": "l_quantity", "t5": "l_extendedprice", "t6": "l_tax", "t8": "l_tax", "t10": "l_quantity", "t11": "l_extendedprice", "t13": "l_discount", "t1_max": "l_discount", "x3": "l_extendedprice"}
     rows = table(spark, d, "lineitem").filter("l_quantity > 0").select("l_orderkey", "l_linenumber", *[F.col(c).alias(n) for n, c in of.items()])
     digits = {"a1": 6, "a2": 3, "a4": 6, "a5": 6, "b1": 4, "b2": 6, "b3": 4, "c1": 6, "c2": 4, "c3": 4}
-    return rollup.engineered(rows).select("l_orderkey", "l_linenumber", *[F.round(c, n).alias(c) for c, n in digits.items()])
+    return rollup.engineered(rows).select("l_orderkey", "l_linenumber", *[C.round_scaled(F.col(c), n).alias(c) for c, n in digits.items()])
 
 
 @query("SELECT hour(ts)::BIGINT AS hour, round(avg(value), 6) AS mean_value FROM events GROUP BY 1")
