@@ -277,6 +277,6 @@ s AS (SELECT a AS rep, count(*) AS n, max(iou) AS most FROM b GROUP BY 1) SELECT
 def cr_similar_files(spark, d):
     """Every document's representative by its set of long lines, and how many other sets overlap it by half or more."""
     members, pairs = retrieval.similar_files(table(spark, d, "documents"), 0.5, "doc_id")
-    ends = pairs.select(F.col("a").alias("rep"), "iou").unionByName(pairs.select(F.col("b").alias("rep"), "iou"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("rep"), "iou")
     found = ends.groupBy("rep").agg(F.count("*").alias("n"), F.max("iou").alias("most"))
     return members.join(found, "rep", "left").select(F.col("f").alias("doc_id"), "rep", F.coalesce("n", F.lit(0)).cast("long").alias("n_similar"), F.round(F.coalesce("most", F.lit(0.0)), 9).alias("most"))
