@@ -9,9 +9,10 @@ STRIP = r"(?U)^\s+|\s+$"
 
 
 def ieee_divide(n: Column, d: Column) -> Column:
-    """Division as floating point does it: x/0 is an infinity and 0/0 is NaN, where ANSI mode would raise."""
+    """Division as floating point does it: x/0 is an infinity and 0/0 is NaN, where ANSI mode would raise. By null it is null."""
     nan, inf = F.lit(float("nan")), F.lit(float("inf"))
-    return F.when(d != 0, n / F.when(d != 0, d)).when(n > 0, inf).when(n < 0, -inf).when(n == 0, nan)
+    by_zero = F.when(n > 0, inf).when(n < 0, -inf).when(n == 0, nan)
+    return F.when(d != 0, n / F.when(d != 0, d)).when(d == 0, by_zero)
 
 
 def clip_low(x: Column, low: float = 0.0) -> Column:
@@ -21,11 +22,12 @@ def clip_low(x: Column, low: float = 0.0) -> Column:
 
 def round_scaled(x: Column, digits: int) -> Column:
     """x times a power of ten, rounded half away from zero, over that power, all in doubles, as SQL engines without decimals round. Spark's own round goes by
-    the shortest decimal of x and takes other sides where the product meets a half. What overflows stays as it is."""
+    the shortest decimal of x and takes other sides where the product meets a half. What overflows stays as it is, and a zero
+    keeps the sign of what was rounded to it."""
     scaled = x * 10.0**digits
     even = F.rint(scaled)  # halves go to the even number; unlike round(), no decimals are made
-    away = F.when((scaled > 0) & (scaled - even == 0.5), 1.0).when((scaled < 0) & (scaled - even == -0.5), -1.0).otherwise(0.0)
-    return F.when(F.abs(scaled) == float("inf"), x).otherwise((even + away) / 10.0**digits)
+    away = F.when((scaled > 0) & (scaled - even == 0.5), even + 1).when((scaled < 0) & (scaled - even == -0.5), even - 1).otherwise(even)
+    return F.when(F.abs(scaled) == float("inf"), x).otherwise(away / 10.0**digits)
 
 
 def cyclic(x: Column, period: float, phase: float = 0.0, wave=F.cos) -> Column:

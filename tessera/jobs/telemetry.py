@@ -76,8 +76,8 @@ ELSE CAST(floor(l_quantity / l_tax + 0.000001::DOUBLE)::BIGINT AS VARCHAR) END A
 def ts_ratio_features(spark, d):
     q, t, s, p = (F.col(c) for c in ("l_quantity", "l_tax", "l_discount", "l_extendedprice"))
     ratio = C.ieee_divide(q, t)
-    text = F.when(F.isnan(ratio), "nan").when(ratio == float("inf"), "inf").otherwise(F.floor(ratio + 0.000001).cast("string"))
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(q * s, 6).alias("a1"), text.alias("a2"), F.round(q + s, 6).alias("a4"), F.round(t - s, 6).alias("b1"), F.round(p * (1 - s), 4).alias("b3"))
+    text = F.when(t == 0, F.when(q > 0, "inf").otherwise("nan")).otherwise(F.floor(ratio + 0.000001).cast("string"))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", C.round_scaled(q * s, 6).alias("a1"), text.alias("a2"), C.round_scaled(q + s, 6).alias("a4"), C.round_scaled(t - s, 6).alias("b1"), C.round_scaled(p * (1 - s), 4).alias("b3"))
 
 
 @query("""SELECT l_returnflag, round(avg(l_discount), 6) AS mean_l_discount, round(avg(l_extendedprice), 4) AS mean_l_extendedprice, round(avg(l_quantity), 6) AS mean_l_quantity,
